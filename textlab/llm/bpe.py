@@ -32,7 +32,7 @@ from textlab.llm.common import over_slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split of byte-level BPE: contractions, letters, digits, other signs, spaces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_UNITS = 200_000
+CACHE_UNITS = 400_000
 SCHEMA = "doc_id bigint, n_tokens int, tokens array<int>, round_trip boolean"
 
 
@@ -61,6 +61,7 @@ class Vocabulary:
         whole = np.flatnonzero(self.reachable & (self.left != np.arange(n)))
         key = self.left[whole].astype(np.int64) * n + self.right[whole]
         order = np.argsort(key)
+        self.token_bytes = {t: i.to_bytes(4, "little") for t, i in self.rank.items()}
         self.pair_key, self.pair_rank = key[order], whole[order].astype(np.int64)
         nodes: dict[bytes, int] = {b"": 0}
         edges: list[tuple[int, int]] = []
@@ -147,35 +148,40 @@ class Vocabulary:
         order = np.argsort(lane, kind="stable")
         return lane[order], token[order]
 
-    def encode_words(self, words: list[bytes]) -> tuple[list[np.ndarray], int]:
-        """Tokens of each word, and how many words had to be merged exactly."""
+    def encode_words(self, words: list[bytes]) -> tuple[list[bytes], int]:
+        """Tokens of each word, as bytes of int32, and how many words had to be merged exactly."""
         lane, token = self.greedy(words)
-        count = np.bincount(lane, minlength=len(words))
+        ends = np.cumsum(np.bincount(lane, minlength=len(words))) * 4
         same = lane[1:] == lane[:-1]
         left, right = token[:-1][same], token[1:][same]
         key, back = np.unique(left.astype(np.int64) * len(self.tokens) + right, return_inverse=True)
         bad = ~self.compatible(key // len(self.tokens), key % len(self.tokens))[back]
-        failing = np.unique(lane[:-1][same][bad])
-        out = np.split(token, np.cumsum(count)[:-1]) if len(words) else []
+        failing = np.unique(lane[:-1][same][bad]).tolist()
+        raw, start, out = token.astype(np.int32).tobytes(), 0, []
+        for end in ends.tolist():
+            out.append(raw[start:end])
+            start = end
+        ids, n = self.token_bytes, len(self.tokens)
         for w in failing:
-            out[w] = np.array([self.rank[p] for p in merge(words[w], self.rank, len(self.tokens))], np.int32)
+            out[w] = b"".join([ids[p] for p in merge(words[w], self.rank, n)])
         return out, len(failing)
 
 
 def merge(word: bytes, rank: dict[bytes, int], limit: int) -> list[bytes]:
     """Exact BPE: merge the adjacent pair of least rank (below ``limit``), leftmost first."""
+    get = rank.get
+    if len(word) <= 64:
+        cut = list(range(len(word) + 1))
+        ranks = [get(word[i : i + 2], limit) for i in range(len(word) - 1)]
+        while ranks and (least := min(ranks)) < limit:
+            i = ranks.index(least)
+            del cut[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(word[cut[i] : cut[i + 2]], limit)
+            if i:
+                ranks[i - 1] = get(word[cut[i - 1] : cut[i + 1]], limit)
+        return [word[i:j] for i, j in zip(cut, cut[1:])]
     parts = [word[i : i + 1] for i in range(len(word))]
-    if len(parts) <= 48:
-        while len(parts) > 1:
-            least, at = limit, -1
-            for i in range(len(parts) - 1):
-                r = rank.get(parts[i] + parts[i + 1], limit)
-                if r < least:
-                    least, at = r, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
     n = len(parts)
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap = [(r, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := rank.get(parts[i] + parts[i + 1], limit)) < limit]
@@ -216,7 +222,7 @@ class Encoder:
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             tokens, exact = self.v.encode_words([w.encode() for w in some])
-            self.words.update(zip(some, (t.tobytes() for t in tokens), strict=True))
+            self.words.update(zip(some, tokens, strict=True))
             self.exact += exact
             self.seen += len(some)
 
