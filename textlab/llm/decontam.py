@@ -3,10 +3,14 @@
 A test item of m bytes (normalised: lower case, every run of other signs than letters and
 digits one blank) may occur with up to k = ``RATE`` * m edits. It is split into k + 1
 pieces, of which an occurrence must hold one untouched. An Aho-Corasick automaton finds
-all exact hits of all pieces in one pass over the texts; hits of an item that agree in
-where it would begin are one candidate, and Myers' bit-parallel algorithm gives the least
-edit distance of the item to any stretch of the text there. Occurrences within k edits are
-all found, and none beyond is reported.
+all exact hits of all pieces in one pass over the texts.
+
+A hit is verified upwards: j consecutive pieces with fewer than j edits in them can be cut
+in two runs of pieces of which one has fewer edits than pieces, too. So runs are nested by
+halves, from the whole item (k + 1 pieces, k edits) down to single pieces, and a hit counts
+only while each next larger run around it matches within its budget. Myers' bit-parallel
+algorithm gives the least distance of a run, and of the item, to any stretch of the text
+around. Occurrences within k edits are all found, and none beyond is reported.
 
 The items go to the executors in blocks of at most ``BLOCK_BYTES`` of normalised text.
 There is one block, and one pass over the documents, as long as the benchmark is smaller
@@ -64,6 +68,31 @@ def pieces(m: int, k: int) -> list[tuple[int, int]]:
     return list(zip(cut, cut[1:], strict=False))
 
 
+def nested(m: int, k: int) -> list[list[tuple[int, int, int]]]:
+    """For each piece, the ever larger runs of pieces around it, without it and the item: (start, end, budget)."""
+    cut = pieces(m, k)
+    chains: list[list[tuple[int, int, int]]] = [[] for _ in cut]
+
+    def halve(a: int, b: int) -> None:
+        if b - a < len(cut):
+            for i in range(a, b):
+                chains[i].insert(0, (cut[a][0], cut[b - 1][1], b - a - 1))
+        if b - a > 1:
+            halve(a, (a + b) // 2)
+            halve((a + b) // 2, b)
+
+    halve(0, len(cut))
+    return [c[1:] for c in chains] if len(cut) > 1 else chains
+
+
+def intact(part: bytes, text: bytes, at: int, budget: int) -> bool:
+    """Is one of ``budget + 1`` parts whole in the text, no further than ``budget`` from its place?"""
+    for a, b in pieces(len(part), budget):
+        if text.find(part[a:b], max(0, at + a - budget), at + b + budget) >= 0:
+            return True
+    return False
+
+
 def myers(pattern: bytes, text: bytes) -> int:
     """Least edit distance of the pattern to any stretch of the text (Myers 1999)."""
     peq: dict[int, int] = {}
@@ -99,15 +128,28 @@ class Matcher:
         import ahocorasick
 
         self.items = [(i, p, int(rate * len(p))) for i, p in items if p]
-        by_piece: dict[str, list[tuple[int, int]]] = {}
+        by_piece: dict[str, list[tuple[int, int, list[tuple[int, int, int]]]]] = {}
         for n, (_, p, k) in enumerate(self.items):
-            for a, b in pieces(len(p), k):
-                by_piece.setdefault(p[a:b].decode("latin-1"), []).append((n, a))
+            for (a, b), runs in zip(pieces(len(p), k), nested(len(p), k), strict=True):
+                by_piece.setdefault(p[a:b].decode("latin-1"), []).append((n, a, runs))
         self.automaton = ahocorasick.Automaton()
         for piece, where in by_piece.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
 
+    def holds(self, n: int, a: int, size: int, runs: list[tuple[int, int, int]], raw: bytes, start: int, lo: int, hi: int) -> bool:
+        """Do all runs around a piece hit match within their budgets?"""
+        p = self.items[n][1]
+        for x, y, k in runs:
+            left, right = p[x:a], p[a + size : y]
+            if not ((left and intact(left, raw, start - len(left), k)) or (right and intact(right, raw, start + size, k))):
+                return False
+            if raw[start - len(left) : start + size + len(right)] != p[x:y]:
+                b = start - len(left)
+                if myers(p[x:y], raw[max(lo, b - k) : min(hi, b + y - x + k)]) > k:
+                    return False
+        return True
+
     def find(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item number, distance, budget) of all matches."""
         if not self.items:
@@ -126,8 +168,9 @@ class Matcher:
             start = end + 1 - size
             if start < first[row] or end >= last[row]:
                 continue
-            for n, a in where:
-                begin.setdefault((row, n), set()).add(start - a)
+            for n, a, runs in where:
+                if self.holds(n, a, size, runs, raw, start, int(first[row]), int(last[row])):
+                    begin.setdefault((row, n), set()).add(start - a)
         out = []
         for (row, n), at in begin.items():
             _, p, k = self.items[n]
