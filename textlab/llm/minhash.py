@@ -84,7 +84,7 @@ def orders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             region = mix(region * np.uint64(0x9E3779B97F4A7C15) + key[:, :, d].astype(np.uint64))
         sketch = np.repeat((minima & np.uint32(255)).astype(np.uint8), TREES, axis=0)
         ids = batch.column(0).take(pa.array(np.repeat(rows, TREES)))
-        fixed = lambda a, n: pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), a.size // n, [None, pa.py_buffer(np.ascontiguousarray(a).tobytes())]).cast(pa.binary())
+        fixed = lambda a, n: pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), a.nbytes // n, [None, pa.py_buffer(np.ascontiguousarray(a).tobytes())]).cast(pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(region.ravel().view(np.int64)), fixed(key, 2 * DEPTH), fixed(sketch, TREES * DEPTH), ids], names=["region", "place", "sketch", "id"])
 
     return docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")).where("id is not null and text is not null").mapInArrow(over_slices(run), ORDER_SCHEMA)

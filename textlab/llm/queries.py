@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textlab.llm import bpe, records
+from textlab.llm import bpe, decontam, langid, minhash, quality, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": langid.op1,
     "op2_bpe": bpe.op2,
+    "op4_decontam": decontam.op4,
+    "op6_minhash": minhash.op6,
+    "op9_quality": quality.op9,
     "op10_records": records.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_quality": quality.OP9_SQL}
