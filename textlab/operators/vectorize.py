@@ -41,16 +41,16 @@ def _weights(df: DataFrame, feature: Feature, sparse: bool, analyzer: str | Anal
     return idf(df, feature, sparse, analyzer) if feature.number == "tf_idf" else [1.0] * len(feature.terms)
 
 
-def _inline(df: DataFrame, feature: Feature, weights: list[float], analyzer: str | Analyzer | None) -> Column:
-    """The values of all places of a feature, computed within the row."""
-    # tokens outside the vocabulary are dropped once, before the terms are counted
-    tokens = F.filter(F.coalesce(tokens_of(df, feature.field, analyzer), F.array().cast("array<string>")), lambda t: t.isin(list(feature.terms)))
+def _inline(df: DataFrame, feature: Feature, analyzer: str | Analyzer | None) -> Column:
+    """How often each term of a feature occurs, counted within the row.
 
-    def value(t: Column, w: Column) -> Column:
-        count = F.size(F.filter(tokens, lambda x: x == t)).cast("double")
-        return F.least(count, F.lit(1.0)) if feature.number == "occurrence" else count * w
-
-    return F.zip_with(F.array(*map(F.lit, feature.terms)), F.array(*[F.lit(float(w)) for w in weights]), value)
+    Tokens are the argument of an outer ``transform``, so that they are made once and not
+    for every term.
+    """
+    tokens = F.coalesce(tokens_of(df, feature.field, analyzer), F.array().cast("array<string>"))
+    known = F.filter(tokens, lambda t: t.isin(list(feature.terms)))
+    terms = F.array(*map(F.lit, feature.terms))
+    return F.get(F.transform(F.array(known), lambda ts: F.transform(terms, lambda t: F.size(F.filter(ts, lambda x: x == t)).cast("double"))), F.lit(0))
 
 
 def entries(df: DataFrame, spec: VectorSpec, id_col: str = "doc_id", analyzers: Mapping[str, str | Analyzer] | None = None) -> DataFrame:
@@ -82,14 +82,18 @@ def vectorize(df: DataFrame, spec: VectorSpec | str | Mapping, id_col: str = "do
     if not isinstance(spec, VectorSpec):
         spec = VectorSpec.from_json(spec if not isinstance(spec, str) else json.loads(spec))
     n = F.lit(spec.length).alias("length")
-    if spec.length <= INLINE_TERMS:
-        values = F.concat(*[_inline(df, f, _weights(df, f, spec.sparse, (analyzers or {}).get(f.field)), (analyzers or {}).get(f.field)) for f in spec.features])
+    if 0 < spec.length <= INLINE_TERMS:
+        own = lambda f: (analyzers or {}).get(f.field)
+        weights = [(f.number == "occurrence", w) for f in spec.features for w in _weights(df, f, spec.sparse, own(f))]
+        rows = df.select(id_col, F.concat(*[_inline(df, f, own(f)) for f in spec.features]).alias("_c"))
+        once = F.array(*[F.lit(o) for o, _ in weights])
+        tables = F.arrays_zip(once.alias("o"), F.array(*[F.lit(float(w)) for _, w in weights]).alias("w"))
+        values = F.zip_with(F.col("_c"), tables, lambda c, t: F.when(t["o"], F.least(c, F.lit(1.0))).otherwise(c * t["w"]))
         if not spec.sparse:
-            return df.select(id_col, F.struct(values.alias("values"), n).alias(target))
+            return rows.select(id_col, F.struct(values.alias("values"), n).alias(target))
         # a place is filled where its term occurs, also when its weight is zero
-        present = F.concat(*[_inline(df, Feature(f.field, "occurrence", f.terms), [1.0] * len(f.terms), (analyzers or {}).get(f.field)) for f in spec.features])
-        idx = F.filter(F.sequence(F.lit(0), F.lit(spec.length - 1)), lambda i: F.get(F.col("_p"), i) > 0)
-        rows = df.select(id_col, values.alias("_v"), present.alias("_p")).select(id_col, "_v", idx.alias("_i"))
+        places = F.filter(F.transform(F.col("_c"), lambda c, i: F.when(c > 0, i)), lambda i: i.isNotNull())
+        rows = rows.select(id_col, values.alias("_v"), places.alias("_i"))
         return rows.select(id_col, F.struct(F.col("_i").alias("indices"), F.transform("_i", lambda i: F.get(F.col("_v"), i)).alias("values"), n).alias(target))
     filled = F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "value"))))
     rows = entries(df, spec, id_col, analyzers).groupBy(id_col).agg(filled.alias("e"))

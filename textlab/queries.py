@@ -335,10 +335,10 @@ def score_glm_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer(score(df, write(events_glm(True))), ["event_id"], "keep")
 
 
-@query("preproc_norm", "select event_id, round(-1.25 + coalesce(value, 40.0) * 0.03125, 6) as value_z from events")
+@query("preproc_norm", "select event_id, round(-1.25 + coalesce(value, 40.0) * 0.03125, 8) as value_z from events")
 def preproc_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "events")
-    return df.select("event_id", F.round(Inputs(events_glm(), df.schema).column("value_z"), 6).alias("value_z"))
+    return df.select("event_id", F.round(Inputs(events_glm(), df.schema).column("value_z"), 8).alias("value_z"))
 
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
