@@ -440,9 +440,9 @@ def nb_train_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 _gauss = " ".join(f"- (l.{c} - c.{c}_m) ** 2 / (2 * c.{c}_v) - ln(sqrt(2 * pi() * c.{c}_v))" for c in ("l_quantity", "l_discount"))
 _bayes_sql = f"""with c as (select l_returnflag as class, count(*)::double as n, {', '.join(f'avg({c}) as {c}_m, var_pop({c}) as {c}_v' for c in ('l_quantity', 'l_discount'))} from lineitem group by 1),
 k as (select l_returnflag as class, l_linestatus, count(*)::double as k from lineitem group by all),
-s as (select {', '.join('l.' + c for c in LINE)}, c.class, ln(c.n / (select count(*) from lineitem)) + ln(coalesce(k.k / c.n, 1.0::double / (select count(*) from lineitem))) {_gauss} as s
-from lineitem l cross join c left join k on k.class = c.class and k.l_linestatus = l.l_linestatus),
-t as (select *, max(s) over w as top, sum(exp(s)) over w as whole, row_number() over (partition by {', '.join(LINE)} order by s desc, class) as place from s window w as (partition by {', '.join(LINE)}))"""
+s as (select rid, {', '.join('l.' + c for c in LINE)}, c.class, ln(c.n / (select count(*) from lineitem)) + ln(coalesce(k.k / c.n, 1.0::double / (select count(*) from lineitem))) {_gauss} as s
+from (select *, row_number() over () as rid from lineitem) l cross join c left join k on k.class = c.class and k.l_linestatus = l.l_linestatus),
+t as (select *, max(s) over w as top, sum(exp(s)) over w as whole, row_number() over (partition by rid order by s desc, class) as place from s window w as (partition by rid))"""
 _labels = f"select {', '.join(LINE)}, class{{}} from t where place = 1"
 
 
