@@ -202,11 +202,14 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that ``duplicates`` names, with all of their columns."""
-    removed = duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_removed"))
+    name = "_removed"
+    while name in docs.columns:
+        name += "_"
+    removed = duplicates(docs, id_col, text_col).select(F.col("doc_id").alias(name))
     n = removed.count()
     if n <= BROADCAST_IDS:
         removed = F.broadcast(removed)
-    return docs.join(removed, docs[id_col].cast("bigint") == F.col("_removed"), "left_anti")
+    return docs.join(removed, docs[id_col].cast("bigint") == F.col(name), "left_anti")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
