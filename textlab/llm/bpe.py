@@ -33,6 +33,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split of byte-level BPE: contractions, letters, digits, other signs, spaces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_UNITS = 400_000
+#: Words of up to so many bytes are merged side by side.
+SIDE_BY_SIDE = 32
 SCHEMA = "doc_id bigint, n_tokens int, tokens array<int>, round_trip boolean"
 
 
@@ -62,6 +64,15 @@ class Vocabulary:
         key = self.left[whole].astype(np.int64) * n + self.right[whole]
         order = np.argsort(key)
         self.token_bytes = {t: i.to_bytes(4, "little") for t, i in self.rank.items()}
+        # all pairs of tokens that make a token, also those that no token is merged from
+        splits, rank = [], self.rank
+        for t, i in rank.items():
+            for k in range(1, len(t)):
+                a, b = rank.get(t[:k]), rank.get(t[k:])
+                if a is not None and b is not None:
+                    splits.append((a * n + b, i))
+        every = np.array(sorted(splits), np.int64).reshape(-1, 2)
+        self.split_key, self.split_rank = np.ascontiguousarray(every[:, 0]), np.ascontiguousarray(every[:, 1]).astype(np.int32)
         self.pair_key, self.pair_rank = key[order], whole[order].astype(np.int64)
         nodes: dict[bytes, int] = {b"": 0}
         edges: list[tuple[int, int]] = []
@@ -162,10 +173,54 @@ class Vocabulary:
             out.append(raw[start:end])
             start = end
         ids, n = self.token_bytes, len(self.tokens)
+        short = sorted((w for w in failing if len(words[w]) <= SIDE_BY_SIDE), key=lambda w: len(words[w]))
+        for i in range(0, len(short), 4096):
+            some = short[i : i + 4096]
+            for w, tokens in zip(some, self.merge_many([words[w] for w in some]), strict=True):
+                out[w] = tokens
         for w in failing:
-            out[w] = b"".join([ids[p] for p in merge(words[w], self.rank, n)])
+            if len(words[w]) > SIDE_BY_SIDE:
+                out[w] = b"".join([ids[p] for p in merge(words[w], self.rank, n)])
         return out, len(failing)
 
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The tokens that pairs of tokens make, the size of the vocabulary where they make none."""
+        n = len(self.tokens)
+        key = a.astype(np.int64) * n + b
+        at = np.minimum(np.searchsorted(self.split_key, key), len(self.split_key) - 1)
+        return np.where((self.split_key[at] == key) & (a >= 0) & (b >= 0), self.split_rank[at], n).astype(np.int32)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` of many words side by side: each round merges the first least pair of every word."""
+        n, size = len(self.tokens), np.fromiter(map(len, words), np.int64, len(words))
+        width = int(size.max())
+        parts = np.full((len(words), width + 1), -1, np.int32)
+        parts[:, :width][np.arange(width) < size[:, None]] = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        pair = self.merged(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(len(words), width)
+        lanes = np.arange(len(words))
+        while lanes.size:
+            now = pair[lanes]
+            at = now.argmin(axis=1)
+            token = now[np.arange(lanes.size), at]
+            go = token < n
+            lanes, at, token = lanes[go], at[go], token[go]
+            if not lanes.size:
+                break
+            column = np.arange(width)
+            p, q = parts[lanes], pair[lanes]
+            p = np.take_along_axis(p, np.minimum(np.arange(width + 1) + (np.arange(width + 1) > at[:, None]), width), 1)
+            q = np.take_along_axis(q, np.minimum(column + (column > at[:, None]), width - 1), 1)
+            row = np.arange(lanes.size)
+            p[row, at] = token
+            q[row, at] = self.merged(token, p[row, at + 1])
+            left = at > 0
+            q[row[left], at[left] - 1] = self.merged(p[row[left], at[left] - 1], token[left])
+            parts[lanes], pair[lanes] = p, q
+        there = parts >= 0
+        raw = parts[there].astype(np.int32).tobytes()
+        ends = np.cumsum(there.sum(axis=1)) * 4
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
 
 def merge(word: bytes, rank: dict[bytes, int], limit: int) -> list[bytes]:
     """Exact BPE: merge the adjacent pair of least rank (below ``limit``), leftmost first."""
@@ -237,13 +292,21 @@ class Encoder:
             self.learn(set().union(*found.values()))
             return [b"".join(map(self.words.__getitem__, found[t])) for t in texts]
         parts = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        found = {}
+        found, letters = {}, []
         for u in set().union(*parts).difference(self.units):
             body = u[1:] if u[:1] == " " else u
-            if u == "\n" or (body and not body[0].isspace() and not body[-1].isspace()):
+            if body.isalpha():  # one word, without asking the pattern
+                letters.append(u)
+            elif u == "\n" or (body and not body[0].isspace() and not body[-1].isspace()):
                 found[u] = self.find(u)
             else:
                 self.units[u] = None
+        for i in range(0, len(letters), 20_000):
+            some = letters[i : i + 20_000]
+            tokens, exact = self.v.encode_words([u.encode() for u in some])
+            self.units.update(zip(some, tokens, strict=True))
+            self.exact += exact
+            self.seen += len(some)
         self.learn(set().union(*found.values()))
         for u, w in found.items():
             self.units[u] = b"".join([self.words[x] for x in w])
