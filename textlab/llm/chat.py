@@ -23,7 +23,9 @@ an empty text. An empty table gives no conversations. Extra columns are ignored.
 from __future__ import annotations
 
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,14 +110,21 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     found = links(lines(numbered.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")))
     linked = numbered.select("conv_id", "n", "role", own_text(F.col("text")).alias("text")).join(found, ["conv_id", "n"], "left")
 
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
-        parent = [int(p) if p == p and p is not None else n - 1 for n, p in zip(rows["n"], rows["parent"], strict=True)]
-        turns = list(zip(rows["role"], rows["text"], strict=True))
-        text = "\n".join(f"<|{turns[n][0]}|>\n{turns[n][1]}" for n in reply_order(parent))
-        return pd.DataFrame({"conv_id": [rows["conv_id"].iloc[0]], "n_messages": [len(rows)], "n_linked": [int(rows["parent"].notna().sum())], "text": [text]})
-
-    return linked.groupBy("conv_id").applyInPandas(order, SCHEMA)
+    whole = linked.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "role", "text", "parent"))).alias("m"))
+
+    def order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                out = []
+                for m in part.column(1).to_pylist():
+                    replies = reply_order([x["n"] - 1 if x["parent"] is None else x["parent"] for x in m])
+                    text = "\n".join([f"<|{m[n]['role']}|>\n{m[n]['text']}" for n in replies])
+                    out.append((len(m), sum(x["parent"] is not None for x in m), text))
+                size, links, text = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int32()), pa.array(links, pa.int32()), pa.array(text, pa.string())], names=["conv_id", "n_messages", "n_linked", "text"])
+
+    return whole.mapInArrow(order, SCHEMA)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
