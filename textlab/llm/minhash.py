@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from textlab.llm.common import materialize, over_slices
 from textlab.llm.words import hashed_words, mix, shingles
 
-SHINGLE, TREES, DEPTH, LEAST_DEPTH = 3, 8, 12, 3
-THRESHOLD, REGION = 0.65, 256
+SHINGLE, TREES, DEPTH, LEAST_DEPTH = 3, 16, 8, 3
+THRESHOLD, REGION = 0.5, 256
 #: Up to so many removed ids (8 bytes each) are broadcast; beyond, the join is shuffled.
 BROADCAST_IDS = 2_000_000
 ORDER_SCHEMA = "region bigint, place binary, sketch binary, id bigint"
