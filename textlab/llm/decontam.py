@@ -188,14 +188,16 @@ class Matcher:
         return out
 
 
-_matchers: dict[int, Matcher] = {}
+#: The last matcher of this worker; it keeps the items, so that no other list has their address.
+_matchers: dict[tuple[int, float], tuple[list[tuple[int, bytes]], Matcher]] = {}
 
 
 def _matcher(items: list[tuple[int, bytes]], rate: float) -> Matcher:
-    if id(items) not in _matchers:
+    key = (id(items), rate)
+    if key not in _matchers:
         _matchers.clear()
-        _matchers[id(items)] = Matcher(items, rate)
-    return _matchers[id(items)]
+        _matchers[key] = items, Matcher(items, rate)
+    return _matchers[key][1]
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
