@@ -230,6 +230,7 @@ def test_passages_equal_brute_force(spark, seed):
     rows.append((82, f"{twice} {prose(30, r)} {twice}"))
     got = {tuple(x) for x in repeats.passages(table(spark, rows, "place string")).collect()}
     assert got == brute_passages(rows, repeats.LEAST) and len(got) > 40
+    assert {tuple(x) for x in repeats.passages(table(spark, rows), crowded=0).collect()} == got  # all counted, none indexed
     assert not [g for g in got if g[0] == 82]
     assert repeats.passages(table(spark, rows).limit(0)).count() == 0
 

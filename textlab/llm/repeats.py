@@ -15,6 +15,9 @@ word by word, in another document. All are found, and nothing else is marked.
    computed at the sampled run heads alone, and streamed from there in text order, as they
    fall by one a word in between. That gives each word's matching statistic, the longest
    match with a context of another document; those of ``LEAST`` or more are marked.
+   An anchor with more than ``CROWDED`` different contexts (where a passage begins or ends
+   that very many documents hold) isn't for one task: each stretch of ``LEAST`` words of
+   its contexts is hashed and counted by a distributed aggregate, with the same result.
 4. Marks go back to all documents that have the context, and are joined to passages.
 
 Defined results: a null text and one of fewer than ``LEAST`` words have no passages. What
@@ -36,6 +39,8 @@ from textlab.llm.words import hashed_words, mix, shingles
 
 #: Words of the shortest passage, and of an anchor's shingle.
 LEAST, WIDTH = 50, 8
+#: Different contexts of an anchor that one task indexes at most; more are counted instead.
+CROWDED = 4096
 ANCHOR_SCHEMA = "doc_id bigint, place int, anchor bigint, print bigint, low int, high int"
 INDEX_SCHEMA = "anchor bigint, print bigint, low int, high int"
 
@@ -96,6 +101,16 @@ def anchors(texts: pa.Array, least: int = LEAST, width: int = WIDTH) -> tuple[np
     return long[row], p, s[chosen], print_, a, z
 
 
+def stretches(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, first word and hash of every stretch of ``least`` words of some contexts."""
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.view(np.uint64) * _powers(_BASE, len(words)), dtype=np.uint64)))
+    n = np.maximum(sizes - least + 1, 0)
+    context = np.repeat(np.arange(len(sizes)), n)
+    low = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = starts[context] + low
+    return context, low, mix((total[at + least] - total[at]) * _powers(_INVERSE, len(words) + 1)[at])
+
+
 def suffixes(words: np.ndarray, group: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffix array of contexts one after another, and the ranks by 1, 2, 4, ... words.
 
@@ -220,7 +235,7 @@ def marks(words: np.ndarray, group: np.ndarray, document: np.ndarray, starts: np
     return context[heads], begin[heads], np.maximum.reduceat(end, heads) if heads.size else end[tails]
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, width: int = WIDTH) -> DataFrame:
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, width: int = WIDTH, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, first_word, last_word) of all stretches that repeat in other documents; words count from 0, ``last_word`` is the last one's number."""
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null and text is not null")
 
@@ -239,12 +254,12 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     spread = spread.withColumn("c_least", F.min("doc_id").over(by_context)).withColumn("c_most", F.max("doc_id").over(by_context))
     spread = spread.withColumn("one", F.row_number().over(Window.partitionBy("anchor", "print").orderBy("doc_id", "place")) == 1)
     spread = spread.withColumn("contexts", F.sum(F.col("one").cast("int")).over(by_anchor))
-    shared = materialize(spread.select("doc_id", "place", "anchor", "print", "low", "high", "one", (F.col("contexts") > 1).alias("open"), (F.col("c_least") < F.col("c_most")).alias("whole")), "anchors")
+    shared = materialize(spread.select("doc_id", "place", "anchor", "print", "low", "high", "one", (F.col("contexts") > 1).alias("open"), (F.col("contexts") > crowded).alias("crowded"), (F.col("c_least") < F.col("c_most")).alias("whole")), "anchors")
 
     settled = shared.where(F.col("whole") & (F.col("high") - F.col("low") >= least)).select("doc_id", "low", "high")
 
     # words of the representatives of contexts that may match in part
-    wanted = shared.where("one and open").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor", "print", "low", "high", "whole")).alias("wanted"))
+    wanted = shared.where("one and open").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor", "print", "low", "high", "whole", "crowded")).alias("wanted"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -263,12 +278,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             at = np.concatenate(([0], np.cumsum(z - a))).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(at), pa.array(body))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(col["anchor"][fits]), pa.array(col["print"][fits]), pa.array(col["low"][fits].astype(np.int32)), pa.array(col["whole"][fits].astype(bool)), values],
-                names=["doc_id", "anchor", "print", "low", "whole", "words"],
+                [batch.column(0).take(pa.array(row)), pa.array(col["anchor"][fits]), pa.array(col["print"][fits]), pa.array(col["low"][fits].astype(np.int32)), pa.array(col["whole"][fits].astype(bool)), pa.array(col["crowded"][fits].astype(bool)), values],
+                names=["doc_id", "anchor", "print", "low", "whole", "crowded", "words"],
             )
 
-    texts = source.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, "doc_id bigint, anchor bigint, print bigint, low int, whole boolean, words array<bigint>")
-    placed = texts.repartition("anchor").sortWithinPartitions("anchor")
+    texts = source.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, "doc_id bigint, anchor bigint, print bigint, low int, whole boolean, crowded boolean, words array<bigint>")
+    texts = materialize(texts, "contexts")
+    placed = texts.where("not crowded").repartition("anchor").sortWithinPartitions("anchor")
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -311,6 +327,21 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             yield from solve(held)
 
     partial = placed.select("doc_id", "anchor", "print", "low", "whole", "words").mapInArrow(index, INDEX_SCHEMA).withColumnsRenamed({"low": "from", "high": "to"})
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                batch = whole.slice(i, 2048)
+                lists = batch.column(4)
+                at = lists.offsets.to_numpy().astype(np.int64)
+                context, low, h = stretches(lists.flatten().to_numpy(zero_copy_only=False), at[:-1] - at[0], np.diff(at), least)
+                rows = pa.array(context)
+                yield pa.RecordBatch.from_arrays([*[batch.column(j).take(rows) for j in range(4)], pa.array(low.astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "anchor", "print", "whole", "from", "stretch"])
+
+    each = texts.where("crowded").select("doc_id", "anchor", "print", "whole", "words").mapInArrow(hashed, "doc_id bigint, anchor bigint, print bigint, whole boolean, from int, stretch bigint")
+    common_ = each.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.max("whole").alias("many")).where("a < z or many").select("anchor", "stretch")
+    counted = each.join(common_, ["anchor", "stretch"]).select("anchor", "print", "from", (F.col("from") + least).alias("to"))
+    partial = partial.union(counted)
     back = shared.where("open").join(partial, ["anchor", "print"]).select("doc_id", (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high"))
 
     # join overlapping and touching stretches
