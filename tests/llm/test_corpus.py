@@ -68,6 +68,36 @@ def test_crowded_regions_lose_no_group():
     assert len({find(i) for i in range(n)}) == 40 and all(find(i) == find(i % 40) for i in range(n))
 
 
+@pytest.mark.parametrize("place", [0, 1, 1500, 3000])
+def test_copies_of_one_original_are_linked_through_it(place):
+    r = np.random.default_rng(7)
+    n, width = 3000, minhash.TREES * minhash.DEPTH
+    original = r.integers(0, 256, width).astype(np.uint8)
+    sketch = np.where(r.random((n, width)) < 0.6, original, r.integers(0, 256, (n, width))).astype(np.uint8)
+    sketch = np.insert(sketch, place, original, axis=0)
+    sketch = np.concatenate([sketch, r.integers(0, 256, (500, width)).astype(np.uint8), sketch[-500:]])
+    found = minhash.links_of_region(np.arange(len(sketch)), r.integers(0, 9, (len(sketch), minhash.DEPTH)).astype(">u2"), sketch)
+    least = minhash.THRESHOLD * width
+    assert all((sketch[a] == sketch[b]).sum() >= least for x, y in found for a, b in zip(x[:9].tolist(), np.broadcast_to(y, x.shape)[:9].tolist(), strict=True))
+
+    def groups(pairs):
+        parent = list(range(len(sketch)))
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        return [find(i) for i in range(len(sketch))]
+
+    every = ((i, j) for i in range(len(sketch)) for j in (np.flatnonzero((sketch[i + 1 :] == sketch[i]).sum(axis=1) >= least) + i + 1).tolist())
+    got = groups(p for x, y in found for p in zip(x.tolist(), np.broadcast_to(y, x.shape).tolist(), strict=True))
+    assert got == groups(every) and got.count(got[place]) > 0.95 * n
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(max(a, b), min(a, b)) for a, b in ((r.randrange(300), r.randrange(300)) for _ in range(250)) if a != b] + [(1000 + i + 1, 1000 + i) for i in range(40)]

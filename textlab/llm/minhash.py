@@ -2,12 +2,14 @@
 
 Every document's shingles of ``SHINGLE`` words give ``TREES * DEPTH`` minima. Each tree
 orders all documents by its own ``DEPTH`` minima. Documents with a common prefix are
-neighbours in that order; a *region* is a run of them. Candidates are the documents of a
-region of prefix ``LEAST_DEPTH``, where that holds up to ``REGION`` documents; a larger one
-first gives up all documents that match its leader (one pass, however many copies there
-are) and is then cut at the next minimum, and so on, so that depth adapts to how crowded
-each region is. Runs that share the whole key are finished by leader passes alone, until
-none is left. No candidate is dropped for want of room.
+neighbours in that order; a *region* is a run of them with a common prefix of
+``LEAST_DEPTH``. Candidates are all pairs of a region, however crowded it is: up to
+``REGION`` documents are compared pair by pair; in a larger region those with the same
+sketch are one, and leaders search it: what is alike to a leader is linked and leads a
+pass itself over what isn't linked yet. Two documents are left uncompared only where they
+are linked already, through others, or where their distances from a third show that they
+are unlike. So no candidate is dropped for want of room; a region's time grows with the
+square of the number of its documents that are unlike each other.
 
 A candidate pair is linked where the share of equal minima (all trees) reaches
 ``THRESHOLD``, an estimate of the Jaccard similarity of the shingle sets. Groups are the
@@ -90,35 +92,57 @@ def orders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")).where("id is not null and text is not null").mapInArrow(over_slices(run), ORDER_SCHEMA)
 
 
-def links_of_region(ids: np.ndarray, key: np.ndarray, sketch: np.ndarray, threshold: float = THRESHOLD, depth: int = LEAST_DEPTH, limit: int = REGION) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs among the documents of a region (sorted by key)."""
+def agreeing(sketch: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The number of places in which each row of a sketch equals ``one``."""
+    out = np.empty(len(sketch), np.int64)
+    for a in range(0, len(sketch), 1024):
+        eights = (sketch[a : a + 1024] == one).view(np.uint64).sum(axis=1)  # eight counts in each number
+        out[a : a + 1024] = eights.view(np.uint8).reshape(-1, 8).sum(axis=1) if len(one) > 255 else (eights * np.uint64(0x0101010101010101)) >> np.uint64(56)
+    return out
+
+
+def links_of_region(ids: np.ndarray, key: np.ndarray, sketch: np.ndarray, threshold: float = THRESHOLD, limit: int = REGION) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs among the documents of a region (sorted by key).
+
+    Up to ``limit`` documents give all pairs. A larger region gives pairs that connect all
+    that are connected: a document leads a pass over those that nothing has reached, then
+    each that was reached leads one, until none is added; then the next one begins.
+    """
     out = []
-    todo = [(np.arange(len(ids)), depth)]
-    least = int(np.ceil(threshold * sketch.shape[1] - 1e-9))
-    while todo:
-        rows, d = todo.pop()
-        if len(rows) < 2:
-            continue
-        if len(rows) <= limit:
-            s = sketch[rows]
-            for i in range(len(rows) - 1):
-                hit = np.flatnonzero((s[i + 1 :] == s[i]).sum(axis=1) >= least)
-                if hit.size:
-                    out.append((ids[rows[i + 1 + hit]], np.full(hit.size, ids[rows[i]])))
-            continue
-        alike = (sketch[rows] == sketch[rows[0]]).sum(axis=1) >= least
-        hit = rows[alike][1:]
-        if hit.size:
-            out.append((ids[hit], np.full(hit.size, ids[rows[0]])))
-        rest = rows[~alike]
-        if d < key.shape[1] and rest.size > limit:
-            cut = np.flatnonzero(key[rest[1:], d] != key[rest[:-1], d]) + 1
-            runs = np.split(rest, cut)
-            for a, b in zip(runs, runs[1:], strict=False):  # neighbours across the cuts
-                todo.append((np.array([a[-1], b[0]]), d + 1))
-            todo += [(r, d + 1) for r in runs]
-        else:
-            todo.append((rest, d))
+    width = sketch.shape[1]
+    least = int(np.ceil(threshold * width - 1e-9))
+    if len(ids) <= limit:
+        for i in range(len(ids) - 1):
+            hit = np.flatnonzero(agreeing(sketch[i + 1 :], sketch[i]) >= least)
+            if hit.size:
+                out.append((ids[i + 1 + hit], np.full(hit.size, ids[i])))
+        return out
+    _, first, which = np.unique(np.ascontiguousarray(sketch).view(f"V{width}").ravel(), return_index=True, return_inverse=True)
+    same = first[which]
+    again = np.flatnonzero(same != np.arange(len(ids)))
+    if again.size:
+        out.append((ids[again], ids[same[again]]))
+    rest = np.sort(first)
+    free = sketch[rest]
+    while rest.size > 1:
+        # (row, places equal to the first leader's) of those reached that haven't led yet
+        todo = [(int(rest[0]), width)]
+        rest, free = rest[1:], free[1:]
+        near = None
+        while todo and rest.size:
+            row, agree = todo.pop()
+            if near is None:
+                count = near = agreeing(free, sketch[row])
+                hit = count >= least
+            else:
+                # unequal places are a distance: what is far from the first leader is far from those next to it
+                may = np.flatnonzero(near >= least + agree - width)
+                hit = np.zeros(rest.size, bool)
+                hit[may[agreeing(free[may], sketch[row]) >= least]] = True
+            if hit.any():
+                out.append((ids[rest[hit]], np.full(int(hit.sum()), ids[row])))
+                todo += zip(rest[hit].tolist(), near[hit].tolist(), strict=True)
+                rest, free, near = rest[~hit], free[~hit], near[~hit]
     return out
 
 
