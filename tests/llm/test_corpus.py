@@ -196,6 +196,39 @@ def test_surrogates_are_one_to_one():
     assert n == 3 and text.split(" ")[1] in pii.FEMALE and text.split(" ")[2] == text.split(" ")[4] and text.endswith("and smith.")
 
 
+@pytest.mark.parametrize(
+    ("text", "parts"),
+    [
+        ("Mrs Anna Maria Schmidt came.", ["Anna", "Maria", "Schmidt"]),
+        ("Mrs Mary-Jane Fox. The end", ["Mary", "Jane", "Fox"]),
+        ("Mr McDonald's car; MCDONALD", ["McDonald", "MCDONALD"]),
+        ("Mr O'Brien and Mr J. Smith", ["O'Brien", "J", "Smith"]),
+        ("Mr. SMITH saw Smith", ["SMITH", "Smith"]),
+        ("Frau Kovač, Herr Wałęsa", ["Kovač", "Wałęsa"]),
+        ("Herr Prof. Dr. Müller", ["Müller"]),
+        ("Mr Ludwig van Beethoven", ["Ludwig", "Beethoven"]),
+        ("Mr Γιώργος Παπαδόπουλος", ["Γιώργος", "Παπαδόπουλος"]),
+        ("password=hunter, pwd: 'my dog' db_password = \"Zaß!\"", ["hunter", "my dog", "Zaß!"]),
+        ("token=abc&user=1 and key: value", ["abc"]),
+        ("Passwort: 密码", ["密码"]),
+    ],
+)
+def test_whole_names_and_secrets(text, parts):
+    assert [text[a:b] for a, b, _ in pii.entities(text)] == parts
+    new, n = pii.replaced(text)
+    assert n == len(parts) and not any(re.search(rf"(?<!\w){re.escape(p)}(?!\w)", new) for p in parts)
+
+
+def test_unlisted_first_names_get_the_gender_of_the_title():
+    new, n = pii.replaced("Mrs Zelda Fox, Dr Zelda Fox and Zelda; Mr Zelig Fox")
+    zelda, fox = new.split(" ")[1:3]
+    assert n == 7 and zelda.endswith("ina") and new == f"Mrs {zelda} {fox} Dr {zelda} {fox[:-1]} and {zelda}; Mr {new.split(' ')[-2]} {fox[:-1]}"
+    assert new.split(" ")[-2].endswith("in")
+    assert not [n for n in pii.LISTED for e in pii._ENDINGS if n.endswith(e)]
+    words = [a + b + e for a in "bcd" for b in "aei" for e in ("", "n", "ina", "in", "inu")]
+    assert len({pii.surrogate(k, w.capitalize()) for k in ("name", "name_m", "name_f") for w in words}) == 3 * len(words)
+
+
 def test_personal_data_in_tables(spark):
     rows = [(1, "mail a.b@c.example.com"), (1, "mail a.b@c.example.com"), (2, None), (3, ""), (4, "Version 2.0. of 2024-01-02, 3.14159 and 100 % or 1,000."), (None, "see 4111111111111111"), (5, "x" * 200_000 + " a.b@c.example.com")]
     df = table(spark, rows, "n_entities string").withColumn("n_chars", F.length("text"))

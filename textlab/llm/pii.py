@@ -16,9 +16,14 @@ address that isn't public, an invented name that is also a listed one) is permut
 until it is, which keeps the map one-to-one on the class.
 
 Kinds: e-mail addresses, phone numbers, card numbers (13 to 19 digits), IBANs, US social
-security numbers, IPv4 addresses, secrets (long values assigned to a word like *token* or
-*password*, and keys with well-known prefixes), and names after a title; further mentions
-of such a name in the same document are replaced alike.
+security numbers, IPv4 addresses, secrets (any value assigned to a word like *password*,
+*token* or *secret*, long ones with a digit assigned to *key* or *auth*, and keys with
+well-known prefixes), and names after a title: any number of capitalised words of any
+script with capitals, initials, hyphens, apostrophes, words like *van* between. Further
+mentions of such a word in the same document, also in capitals, are replaced alike.
+
+A word before the last is a first name. Where it isn't listed, its surrogate has an ending
+of the gender of the title; so one such name has a surrogate for each gender it occurs with.
 
 Defined results: a null text stays null with 0 entities, an empty one stays empty. Texts are
 read whole. Repeated rows give repeated rows; an empty table gives an empty one. Text that
@@ -32,7 +37,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -60,13 +65,36 @@ _IBAN = r"(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})
 _CARD = r"(?<![\w.-])(?P<card>\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}|\d{4}([ -])\d{6}\3\d{5})(?![\w-])"
 _SSN = r"(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
 _PHONE = r"(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\5\d{4})(?!\w)"
-_SECRET = r"(?i:\b(?:[a-z]+[_-])*(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9+/_=-]{12,})|(?<!\w)(?P<key>(?:AKIA|ghp_|gho_|sk-|xoxb-|xoxp-)[A-Za-z0-9_-]{12,})(?!\w)"
+_PASSWORD = r"password|passwd|pwd|passphrase|passcode|passwort|kennwort|contraseña|mot de passe|пароль|token|secret|api[_-]?key|access[_-]?key"
+_SECRET = (
+    r"(?i:(?<![^\W_])(?:" + _PASSWORD + r")(?![^\W_])[\"']?\s{0,3}[=:]\s{0,3})(?:\"(?P<quoted>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|[\"']?(?P<secret>(?:(?![,;&]+[\w.-]+[\"']?\s?[=:])[^\s\"'<>])*[^\s\"'<>.,;:!?&)\]}]))"
+    r"|(?i:\b(?:[a-z]+[_-])*(?:auth|key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<long>[A-Za-z0-9+/_=-]{12,})"
+    r"|(?<!\w)(?P<key>(?:AKIA|ghp_|gho_|sk-|xoxb-|xoxp-)[A-Za-z0-9_-]{12,})(?!\w)"
+)
 _TITLES = {"m": "Mr|Herr|Herrn|Monsieur|Señor|Господин", "f": "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Госпожа", "": "Dr|Prof"}
-_NAME = re.compile(r"\b(?:" + "|".join(_TITLES.values()) + r")\.? ((?:[^\W\d_a-zа-яß-ÿ][a-zа-яß-ÿ]+)(?: [^\W\d_a-zа-яß-ÿ][a-zа-яß-ÿ]+)?)")
+_GENDER = {t: g for g, titles in _TITLES.items() for t in titles.split("|")}
+
+
+def _capitals() -> str:
+    """The capitals of the basic plane as ranges of a character class."""
+    at = [c for c in range(0x10000) if unicodedata.category(chr(c)) in ("Lu", "Lt")]
+    starts = [c for c, before in zip(at, [-1, *at], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(at, [*at[1:], -1], strict=True) if c != after - 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
+_MARKS = "\u0300-\u036f"
+_LETTER, _CAPITAL = f"(?:[^\\W\\d_]|[{_MARKS}])", f"[{_capitals()}]"
+_PART = f"(?:{_CAPITAL}['’]{_LETTER}{{2,}}|{_CAPITAL}{_LETTER}*)(?:['’]{_CAPITAL}{_LETTER}+)*"
+_ANY_TITLE = "(?:" + "|".join(_TITLES.values()) + ")"
+_SINGLE = f"(?!{_ANY_TITLE}\\b)(?:{_CAPITAL}[{_MARKS}]*\\.(?:[ -]?{_CAPITAL}[{_MARKS}]*\\.)*|{_PART}(?:[-‐‑]{_PART})*)"
+_BETWEEN = "(?:(?:van|von|der|den|ten|ter|zu|de|del|della|di|da|dos|du|la|le|al|el|bin|ibn) |d['’])*"
+_NAME = re.compile(f"\\b(?P<titles>(?:{_ANY_TITLE}(?:\\.\\s{{0,3}}|\\s{{1,3}}))+)(?P<names>{_BETWEEN}{_SINGLE}(?:(?:[ \u00a0]{{1,2}}|(?<=\\.)){_BETWEEN}{_SINGLE})*)")
+_WORD = re.compile(_PART)
 _AT = re.compile(_EMAIL)
 _DIGITS = re.compile("|".join((_IP, _CARD.replace(r"\2", r"(?P=a)").replace(r"\3", r"(?P=b)").replace("([ -])", "(?P<a>[ -])", 1).replace("([ -])", "(?P<b>[ -])", 1), _SSN, _PHONE.replace(r"([.-])\d{3}\5", r"(?P<c>[.-])\d{3}(?P=c)"), _IBAN)))
 _KEYS = re.compile(_SECRET)
-_HINT = re.compile(r"(?i:token|secret|passw|pwd|key|auth)|AKIA|gh[po]_|sk-|xox[bp]-")
+_HINT = re.compile(r"(?i:token|secret|pass[wpce]|pwd|kennwort|contraseña|пароль|key|auth)|AKIA|gh[po]_|sk-|xox[bp]-")
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 _CYR_VOWELS, _CYR_CONSONANTS = "аеиоуэюя", "бвгджзклмнпрстфхцчшщ"
@@ -121,12 +149,28 @@ _ALPHABETS = ("0123456789", _VOWELS, _CONSONANTS, _CYR_VOWELS, _CYR_CONSONANTS,
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 
 
+@lru_cache(maxsize=1 << 12)
+def alphabet(c: str) -> str | None:
+    """The letters or digits that may take the place of a small letter, caseless letter or digit."""
+    if c in _CLASS or c < "\x80":
+        return _CLASS.get(c)
+
+    def kind(x: str) -> str:
+        cased = unicodedata.category(x) == "Ll" and len(x.upper()) == 1 and x.upper() != x == x.upper().lower()
+        return "" if x in _CLASS or unicodedata.normalize("NFC", x) != x else "Ll" if cased else "Lo" * (unicodedata.category(x) == "Lo")
+
+    if not kind(c):
+        return None
+    block = ord(c) & ~127
+    return "".join(x for x in map(chr, range(block, block + 128)) if kind(x) == kind(c))
+
+
 def permuted(text: str, key: bytes, tweak: bytes, good: Callable[[str], bool] = lambda _: True) -> str:
     """A small-letter string whose letters and digits are replaced within their classes."""
-    places = [i for i, c in enumerate(text) if c in _CLASS]
+    places = [i for i, c in enumerate(text) if alphabet(c)]
     if not places:
         return text
-    sets = [_CLASS[text[i]] for i in places]
+    sets = [alphabet(text[i]) for i in places]
 
     def build(d: list[int]) -> str:
         out = list(text)
@@ -224,7 +268,7 @@ _HEX = "0123456789abcdef"
 
 
 def _secret(x: str, key: bytes) -> str:
-    low = x.lower()
+    low = folded(x)
     if (x == low or x == x.upper()) and all(c in _HEX for c in low):
         new = "".join(_HEX[i] for i in walk([_HEX.index(c) for c in low], [16] * len(low), key, b"hex" + (b"" if x == low else b"u"), lambda d: x == low or any(i > 9 for i in d)))
         return new if x == low else new.upper()
@@ -236,17 +280,28 @@ def _key(x: str, key: bytes) -> str:
     return prefix + with_case(permuted(folded(x[len(prefix) :]), key, b"key"), x[len(prefix) :])
 
 
-def _name(x: str, key: bytes) -> str:
+#: Endings of invented first names: of women, of men, and of other names that have such an ending.
+_ENDINGS = (("ina", "in", "inu"), ("лина", "лин", "лину"), ("ινα", "ιν", "ινυ"))
+
+
+def _name(x: str, key: bytes, gender: str = "") -> str:
     """Listed first names become listed names of the same gender and script, others invented ones."""
     low = folded(x)
     if low in LISTED:
         names = LISTED[low]
         new = names[walk([names.index(low)], [len(names)], key, b"name" + names[0].encode())[0]]
         return new.upper() if x == x.upper() else new[:1].upper() + new[1:]
-    return with_case(permuted(low, key, b"name", lambda s: s not in LISTED), x)
+    # the endings of gendered names are theirs alone: a name that has one already gets the third
+    marks = next((e for e in _ENDINGS if unicodedata.name(e[0][0]).split(" ")[0] == unicodedata.name(low[-1], "").split(" ")[0]), None)
+    ending = ""
+    if marks and len(low) > 1:
+        ending = marks["fm".index(gender)] if gender else marks[2] if low.endswith(marks) else ""
+    good = lambda s: s not in LISTED and (bool(ending) or not (marks and s.endswith(marks)))
+    new = with_case(permuted(low, key, b"name", good), x)
+    return new + (ending.upper() if len(x) > 1 and x == x.upper() else ending)
 
 
-SURROGATE: dict[str, Callable[[str, bytes], str]] = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "iban": _iban, "secret": _secret, "key": _key, "name": _name}
+SURROGATE: dict[str, Callable[[str, bytes], str]] = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "iban": _iban, "secret": _secret, "key": _key, "name": _name, "name_m": partial(_name, gender="m"), "name_f": partial(_name, gender="f")}
 
 
 @lru_cache(maxsize=1 << 16)
@@ -262,18 +317,29 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span("email"), "email") for m in _AT.finditer(text)]
     if _HINT.search(text):
         for m in _KEYS.finditer(text):
-            kind = "secret" if m["secret"] else "key"
-            if any(c.isdecimal() for c in m[kind]):
-                found.append((*m.span(kind), kind))
+            kind = m.lastgroup
+            if kind not in ("long", "key") or any(c.isdecimal() for c in m[kind]):
+                found.append((*m.span(kind), "key" if kind == "key" else "secret"))
     for m in _DIGITS.finditer(text):
         kind = m.lastgroup if m.lastgroup in SURROGATE else next(k for k in ("card", "phone", "ip", "ssn", "iban") if m[k])
         found.append((*m.span(kind), kind))
-    names: dict[str, None] = {}
+    names: dict[str, str] = {}
+    titled: list[tuple[int, int, str]] = []
     for m in _NAME.finditer(text):
-        names.update(dict.fromkeys(m[1].split(" ")))
+        words = list(_WORD.finditer(text, *m.span("names")))
+        gender = next((g for t in re.findall(_ANY_TITLE + r"\b", m["titles"]) if (g := _GENDER[t])), "")
+        last = text[: words[-1].start()].endswith(("-", "‐", "‑"))  # the parts of a double name are one
+        for i, w in enumerate(words):
+            kind = "name_" + gender if gender and i < len(words) - 1 - last and len(w[0]) > 1 else ""
+            titled.append((*w.span(), kind))
+            if len(w[0]) > 1:
+                for form in {w[0], w[0].upper(), w[0][0] + w[0][1:].lower() if w[0].isupper() else w[0]}:
+                    names[form] = names.get(form) or kind
+    found += [(a, b, kind or names.get(text[a:b]) or "name") for a, b, kind in titled]
     if names:
-        mention = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b")
-        found += [(*m.span(), "name") for m in mention.finditer(text)]
+        edge = f"[\\w{_MARKS}]"
+        mention = re.compile(f"(?<!{edge})(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + f")(?!{edge})")
+        found += [(*m.span(), names[m[0]] or "name") for m in mention.finditer(text)]
     if len(found) < 2:
         return found
     out: list[tuple[int, int, str]] = []
@@ -289,14 +355,14 @@ _TITLE = re.compile("|".join(_TITLES.values()))
 
 def replaced(text: str, key: bytes = KEY) -> tuple[str, int]:
     """The text with surrogates, and the number of entities."""
-    if not _MAYBE.search(text) and not _TITLE.search(text):
+    if not _MAYBE.search(text) and not _TITLE.search(text) and not _HINT.search(text):
         return text, 0
     found = entities(text)
     if not found:
         return text, 0
     out, at = [], 0
     for start, end, kind in found:
-        out += [text[at:start], surrogate(kind, unicodedata.normalize("NFC", text[start:end]) if kind == "name" else text[start:end], key)]
+        out += [text[at:start], surrogate(kind, unicodedata.normalize("NFC", text[start:end]) if kind.startswith("name") else text[start:end], key)]
         at = end
     return "".join([*out, text[at:]]), len(found)
 
