@@ -170,6 +170,24 @@ def test_quotations(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_quotes_that_are_wrapped_anew_partial_or_nested_are_linked(spark):
+    texts = [
+        "The first plan is to take\nthe early train. It leaves at six.",
+        "I would go by car instead.",
+        "Another thing altogether",
+        "> The first plan\n> is to take the early train. It leaves\n> at six.\nYes",  # wrapped anew
+        "> It leaves at six.\nToo early",  # a sentence of a longer line
+        "On Monday Ann wrote:\n> Someone whose message is lost\n> > I would go by car instead.\nNo",  # level two alone
+        "> Another thing altogether\n>> I would go by car instead.\nWell",  # level one decides
+        "> nothing that anyone said\nHm",
+    ]
+    rows = [(1, i, "u", t) for i, t in enumerate(texts)]
+    numbered = chat.messages(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string"))
+    assert {r.n: r.parent for r in chat.links(chat.lines(numbered), chat.sentences(numbered)).collect()} == {3: 0, 4: 0, 5: 1, 6: 2}
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).first()
+    assert got.n_linked == 4 and [x for x in got.text.split("\n") if x in ("Yes", "Too early", "No", "Well", "Hm")] == ["Well", "Hm", "No", "Yes", "Too early"]
+
+
 def test_attributions_go_and_the_sql_agrees(spark):
     import duckdb
 

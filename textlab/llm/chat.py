@@ -6,10 +6,13 @@ Messages are often plain text in which lines that begin with ``>`` quote earlier
 1. *Parse.* Each line has a quote level (the number of ``>`` in front, blanks between them
    allowed) and a body. A line like ``On ... wrote:`` right before a quote is no one's words.
 2. *Hash.* Bodies are normalised (small letters, runs of white space as one blank, none at
-   the ends) and hashed; those that are empty count for nothing.
-3. *Join.* Lines quoted at level one are joined by conversation and hash to the lines that
-   earlier messages say themselves. The message that holds most of the distinct quoted
-   lines is the one replied to, of equals the latest. Where nothing links, a message
+   the ends) and hashed; those that are empty count for nothing. So are the sentences of
+   passages: consecutive lines of one level, up to an empty one, joined by a blank. They are
+   the same however the lines are wrapped, and where a quote takes a part.
+3. *Join.* Quoted lines and sentences are joined by conversation and hash to those that
+   earlier messages say themselves. The least level that links decides, by its lines, or
+   by its sentences where no line links. The message that holds most of its distinct lines
+   (sentences) is the one replied to, of equals the latest. Where nothing links, a message
    replies to the one before it.
 4. *Order.* A conversation is its messages in reply order: every message is followed by the
    replies to it, in their order, each with its own replies after it. Quotes are left out.
@@ -18,11 +21,14 @@ Defined results: messages with a null conversation or turn belong to none and ar
 out; rows repeated whole count once; messages with the same turn are ordered by role and
 text. A null text is empty, a null role ``unknown``. A message that only quotes stays, with
 an empty text. An empty table gives no conversations. Extra columns are ignored.
+
+``OP3_SQL`` links by lines of level one alone; it agrees wherever these link, and where
+neither sentences nor deeper levels do.
 """
 
 from __future__ import annotations
 
-
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -67,12 +73,43 @@ def lines(texts: DataFrame) -> DataFrame:
     return each.select("conv_id", "n", "place", kind.alias("level"), "line", F.when(norm != "", F.xxhash64(norm)).alias("hash"), norm.alias("norm"))
 
 
-def links(parsed: DataFrame) -> DataFrame:
-    """(conv_id, n, parent) of the messages that quote an earlier one."""
-    quoted = parsed.where("level = 1 and hash is not null").select("conv_id", "n", "hash", "norm").distinct()
-    said = parsed.where("level = 0 and hash is not null").select("conv_id", F.col("n").alias("parent"), "hash", "norm").distinct()
-    hits = quoted.join(said, ["conv_id", "hash", "norm"]).where("parent < n").groupBy("conv_id", "n", "parent").agg(F.count("*").alias("hits"))
-    best = F.max(F.struct("hits", "parent"))
+def sentences(texts: DataFrame) -> DataFrame:
+    """(conv_id, n, level, hash, norm) of every sentence of the passages."""
+
+    def of(text: str) -> Iterator[tuple[int, str]]:
+        split = text.split("\n")
+        marks = [m[0] if (m := re.match(QUOTE, line)) else "" for line in split]
+        passage: list[str] = []
+        for i, (line, mark) in enumerate(zip(split, marks, strict=True)):
+            now, then = mark.count(">"), marks[i + 1].count(">") if i + 1 < len(split) else -1
+            body = "" if now == 0 and then > 0 and re.match(WROTE, line) else " ".join(line[len(mark) :].lower().split())
+            passage += [body] if body else []
+            if passage and (not body or then != now):
+                for one in re.split(r"(?<=[.!?…])[\"'”»)]* ", " ".join(passage)):
+                    if one:
+                        yield now, one
+                passage = []
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rows = [(c, n, *x) for c, n, t in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for x in set(of(t))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["conv_id", "n", "level", "norm"])
+
+    found = texts.select("conv_id", F.col("n").cast("int").alias("n"), "text").mapInArrow(run, "conv_id bigint, n int, level int, norm string")
+    return found.withColumn("hash", F.xxhash64("norm"))
+
+
+def links(parsed: DataFrame, passages: DataFrame) -> DataFrame:
+    """(conv_id, n, parent) of the messages that quote an earlier one; of lines and sentences."""
+    names = ["conv_id", "n", "level", "kind", "hash", "norm"]
+    each = parsed.withColumn("kind", F.lit(0)).select(names).union(passages.withColumn("kind", F.lit(1)).select(names)).where("hash is not null")
+    quoted = each.where("level > 0").distinct()
+    said = each.where("level = 0").select("conv_id", F.col("n").alias("parent"), "kind", "hash", "norm").distinct()
+    hits = quoted.join(said, ["conv_id", "kind", "hash", "norm"]).where("parent < n").groupBy("conv_id", "n", "level", "kind", "parent").agg(F.count("*").alias("hits"))
+    best = F.max(F.struct(-F.col("level"), -F.col("kind"), F.col("hits"), F.col("parent").alias("parent")))
     return hits.groupBy("conv_id", "n").agg(best["parent"].alias("parent"))
 
 
@@ -107,7 +144,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     numbered = messages(conversations)
     quoting = numbered.where(F.col("text").rlike("(?m)" + QUOTE))
     # only conversations in which someone quotes take part in the join
-    found = links(lines(numbered.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")))
+    those = numbered.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
+    found = links(lines(those), sentences(those))
     linked = numbered.select("conv_id", "n", "role", own_text(F.col("text")).alias("text")).join(found, ["conv_id", "n"], "left")
 
     whole = linked.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "role", "text", "parent"))).alias("m"))
