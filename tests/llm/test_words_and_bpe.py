@@ -170,6 +170,18 @@ def test_quotations(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_more_than_64_languages_all_have_a_filter():
+    r = np.random.default_rng(8)
+    texts = {}
+    for k in range(140):
+        words = ["".join(map(chr, r.choice(np.arange(97, 123), 6))) for _ in range(30)]
+        texts[f"l{k:03}"] = [" ".join(r.choice(words, 60)) for _ in range(4)]
+    filters = langid.fit(texts)
+    assert filters.languages == sorted(texts)
+    got, _, _ = langid.classify(filters, pa.array([t[0] for t in texts.values()]))
+    assert got == list(texts)
+
+
 def test_quotes_that_are_wrapped_anew_partial_or_nested_are_linked(spark):
     texts = [
         "The first plan is to take\nthe early train. It leaves at six.",

@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
 One Bloom filter per language, bit-sliced: each of the table's positions holds one bit for
-each language, so that the ``and`` of an n-gram's positions is the mask of all languages
+each language (in as many words of 64 bits as the languages need), so that the ``and`` of an n-gram's positions is the mask of all languages
 that contain it. A text's languages get the number of its n-grams that carry their bit,
 corrected for the rate of false positives of their filter, and the largest share decides.
 
@@ -43,7 +43,7 @@ _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 @dataclass
 class Filters:
-    """Bit-sliced filters of up to 64 languages and the share of positions each has filled."""
+    """Bit-sliced filters (of more than 64 languages a row for each word of bits) and the share of positions each has filled."""
 
     languages: list[str]
     table: np.ndarray
@@ -80,9 +80,9 @@ def fit(texts: dict[str, list[str]]) -> Filters:
     An n-gram that occurs more than once goes to every language in which its rate is at
     least ``RATE`` of its highest rate in any.
     """
-    languages = sorted(texts)[:64]
-    kind = np.uint8 if len(languages) <= 8 else np.uint64
-    table = np.zeros(1 << LOG_POSITIONS, kind)
+    languages = sorted(texts)
+    kind, bits = (np.uint8, 8) if len(languages) <= 8 else (np.uint64, 64)
+    table = np.zeros((max(1, -(-len(languages) // bits)), 1 << LOG_POSITIONS), kind)
     seen, rates = [], []
     for language in languages:
         code, starts, n = grams(pa.array(texts[language], pa.string()))
@@ -100,9 +100,9 @@ def fit(texts: dict[str, list[str]]) -> Filters:
     highest = rate.max(axis=0, initial=0)
     for i in range(len(languages)):
         for at in positions(every[(rate[i] > 0) & (rate[i] >= RATE * highest)]):
-            table[at] |= kind(1) << kind(i)
-    filled = np.array([((table >> kind(i)) & kind(1)).mean() for i in range(len(languages))])
-    return Filters(languages, table, filled)
+            table[i // bits, at] |= kind(1) << kind(i % bits)
+    filled = np.array([((table[i // bits] >> kind(i % bits)) & kind(1)).mean() for i in range(len(languages))])
+    return Filters(languages, table[0] if len(table) == 1 else table, filled)
 
 
 def classify(filters: Filters, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -111,18 +111,21 @@ def classify(filters: Filters, texts: pa.Array) -> tuple[list[str], np.ndarray,
     rows, langs = len(n), len(filters.languages)
     counts = np.zeros((langs, rows))
     if len(code) and langs:
-        mask = None
-        for at in positions(code):
-            got = filters.table[at]
-            mask = got if mask is None else mask & got
+        at, table = positions(code), np.atleast_2d(filters.table)
         ends = starts + n
-        kind = mask.dtype.type
+        kind = filters.table.dtype.type
+        bits = 8 * filters.table.dtype.itemsize
         some = n > 0
         # Each text's n-grams and the stretch up to the next text's, by turns; only the former count.
         edge = np.stack([starts[some], np.minimum(ends[some], len(code))], 1).ravel()
         last = int(edge[-1]) if edge.size else 0
         for i in range(langs) if edge.size else ():
-            bit = ((mask[:last] >> kind(i)) & kind(1)).astype(np.int32)
+            if i % bits == 0:
+                word = table[i // bits]
+                mask = word[at[0]]
+                for a in at[1:]:
+                    mask &= word[a]
+            bit = ((mask[:last] >> kind(i % bits)) & kind(1)).astype(np.int32)
             counts[i, some] = np.add.reduceat(np.append(bit, 0), edge[:-1])[::2]
     false = filters.false_rate()[:, None]
     share = np.maximum(0, (counts - n * false) / np.maximum(1e-9, 1 - false)) / np.maximum(n, 1)
