@@ -16,8 +16,8 @@ The items go to the executors in blocks of at most ``BLOCK_BYTES`` of normalised
 There is one block, and one pass over the documents, as long as the benchmark is smaller
 than that; a larger one takes a pass for each block.
 
-Defined results: null or blank texts and items match nothing. Items with the same text
-each match. An item of fewer than 1 / ``RATE`` bytes must occur exactly. A document's
+Defined results: null or blank texts and items match nothing. Items with a null id match
+like others, with a null id in the result. Items with the same text each match. An item of fewer than 1 / ``RATE`` bytes must occur exactly. A document's
 repeated occurrences of an item are one row with the least distance; repeated rows give
 repeated rows. Empty tables match nothing. Extra columns are ignored, and kept by
 ``keep_clean``, also ones named like the results here.
@@ -202,7 +202,7 @@ def _matcher(items: list[tuple[int, bytes]], rate: float) -> Matcher:
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
     """Normalised items, by blocks of about ``limit`` bytes at most."""
-    items = benchmark.select(benchmark[id_col].cast("bigint").alias("id"), benchmark[text_col].alias("text")).where("id is not null and text is not null")
+    items = benchmark.select(benchmark[id_col].cast("bigint").alias("id"), benchmark[text_col].alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // limit))
     for b in range(n):
