@@ -13,8 +13,9 @@ per worker:
 3. Only pre-tokens with a pair that fails are merged exactly.
 
 Null texts give null tokens, empty texts an empty list; repeated texts are encoded like
-any other. Texts of any length are encoded whole. No special tokens are recognised:
-their strings are ordinary text. Extra columns are ignored.
+any other, an empty table gives an empty one. Texts of any length are encoded whole. Ids
+keep their type. No special tokens are recognised: their strings are ordinary text. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,20 +23,24 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from textlab.llm.common import over_slices
+from textlab.llm.common import csr_take, data, kind_of, offsets, over_slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split of byte-level BPE: contractions, letters, digits, other signs, spaces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_UNITS = 400_000
+#: Distinct units, and tokens of them, that a worker keeps.
+CACHE_UNITS, CACHE_TOKENS = 1_000_000, 1 << 24
+#: Bytes of text that are encoded at a time.
+BATCH_BYTES = 4 << 20
 #: Words of up to so many bytes are merged side by side.
 SIDE_BY_SIDE = 32
-SCHEMA = "doc_id bigint, n_tokens int, tokens array<int>, round_trip boolean"
+SCHEMA = "n_tokens int, tokens array<int>, round_trip boolean"
 
 
 class Vocabulary:
@@ -63,7 +68,6 @@ class Vocabulary:
         whole = np.flatnonzero(self.reachable & (self.left != np.arange(n)))
         key = self.left[whole].astype(np.int64) * n + self.right[whole]
         order = np.argsort(key)
-        self.token_bytes = {t: i.to_bytes(4, "little") for t, i in self.rank.items()}
         # all pairs of tokens that make a token, also those that no token is merged from
         splits, rank = [], self.rank
         for t, i in rank.items():
@@ -159,29 +163,34 @@ class Vocabulary:
         order = np.argsort(lane, kind="stable")
         return lane[order], token[order]
 
-    def encode_words(self, words: list[bytes]) -> tuple[list[bytes], int]:
-        """Tokens of each word, as bytes of int32, and how many words had to be merged exactly."""
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+        """Tokens of all words in a row, how many each has, and how many words had to be merged exactly."""
         lane, token = self.greedy(words)
-        ends = np.cumsum(np.bincount(lane, minlength=len(words))) * 4
+        size = np.bincount(lane, minlength=len(words))
+        start = np.cumsum(size) - size
         same = lane[1:] == lane[:-1]
         left, right = token[:-1][same], token[1:][same]
         key, back = np.unique(left.astype(np.int64) * len(self.tokens) + right, return_inverse=True)
         bad = ~self.compatible(key // len(self.tokens), key % len(self.tokens))[back]
-        failing = np.unique(lane[:-1][same][bad]).tolist()
-        raw, start, out = token.astype(np.int32).tobytes(), 0, []
-        for end in ends.tolist():
-            out.append(raw[start:end])
-            start = end
-        ids, n = self.token_bytes, len(self.tokens)
-        short = sorted((w for w in failing if len(words[w]) <= SIDE_BY_SIDE), key=lambda w: len(words[w]))
-        for i in range(0, len(short), 4096):
-            some = short[i : i + 4096]
-            for w, tokens in zip(some, self.merge_many([words[w] for w in some]), strict=True):
-                out[w] = tokens
-        for w in failing:
-            if len(words[w]) > SIDE_BY_SIDE:
-                out[w] = b"".join([ids[p] for p in merge(words[w], self.rank, n)])
-        return out, len(failing)
+        failing = np.unique(lane[:-1][same][bad])
+        if not failing.size:
+            return token, size, 0
+        length = np.fromiter((len(words[w]) for w in failing.tolist()), np.int64, failing.size)
+        failing = failing[np.argsort(length, kind="stable")]
+        short = int((length <= SIDE_BY_SIDE).sum())
+        parts, known = [token], len(token)
+        for i in range(0, short, 4096):
+            some = failing[i : min(i + 4096, short)]
+            flat, n = self.merge_flat([words[w] for w in some.tolist()])
+            start[some], size[some] = known + np.cumsum(n) - n, n
+            parts.append(flat)
+            known += len(flat)
+        for w in failing[short:].tolist():
+            flat = np.array([self.rank[p] for p in merge(words[w], self.rank, len(self.tokens))], np.int32)
+            start[w], size[w] = known, len(flat)
+            parts.append(flat)
+            known += len(flat)
+        return csr_take(np.concatenate(parts), start, size), size, failing.size
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The tokens that pairs of tokens make, the size of the vocabulary where they make none."""
@@ -190,8 +199,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.split_key, key), len(self.split_key) - 1)
         return np.where((self.split_key[at] == key) & (a >= 0) & (b >= 0), self.split_rank[at], n).astype(np.int32)
 
-    def merge_many(self, words: list[bytes]) -> list[bytes]:
-        """``merge`` of many words side by side: each round merges the first least pair of every word."""
+    def merge_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many words side by side (tokens in a row, how many by word): each round merges the first least pair of every word."""
         n, size = len(self.tokens), np.fromiter(map(len, words), np.int64, len(words))
         width = int(size.max())
         parts = np.full((len(words), width + 1), -1, np.int32)
@@ -217,9 +226,17 @@ class Vocabulary:
             q[row[left], at[left] - 1] = self.merged(p[row[left], at[left] - 1], token[left])
             parts[lanes], pair[lanes] = p, q
         there = parts >= 0
-        raw = parts[there].astype(np.int32).tobytes()
-        ends = np.cumsum(there.sum(axis=1)) * 4
-        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return parts[there].astype(np.int32), there.sum(axis=1)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """``merge_flat`` with each word's tokens as the bytes of an int32 array."""
+        flat, size = self.merge_flat(words)
+        return [x.tobytes() for x in np.split(flat, np.cumsum(size)[:-1])]
+
+    @cached_property
+    def token_bytes(self) -> dict[bytes, bytes]:
+        """Each token's number as the bytes of an int32."""
+        return {t: i.to_bytes(4, "little") for t, i in self.rank.items()}
 
 
 def merge(word: bytes, rank: dict[bytes, int], limit: int) -> list[bytes]:
@@ -255,77 +272,171 @@ def merge(word: bytes, rank: dict[bytes, int], limit: int) -> list[bytes]:
     return [p for p, a in zip(parts, alive, strict=True) if a]
 
 
+#: ASCII white space; that of other blocks is found by ``_wide_spaces``.
+_WHITE = np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)])
+
+
+#: ASCII letters 1, digits 2, other signs 3 (the apostrophe 4), white space and beyond ASCII 0.
+_KIND = np.array([0 if b > 127 or _WHITE[b] else 1 if chr(b).isalpha() else 2 if chr(b).isdecimal() else 4 if chr(b) == "'" else 3 for b in range(256)], np.uint8)
+
+
+def _wide_spaces(raw: np.ndarray, space: np.ndarray) -> None:
+    """Mark the bytes of white space beyond ASCII (U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000)."""
+    for lead, width in ((0xC2, 2), (0xE1, 3), (0xE2, 3), (0xE3, 3)):
+        at = np.flatnonzero(raw == lead)
+        if not at.size:
+            continue
+        second, third = raw[at + 1], raw[np.minimum(at + 2, len(raw) - 1)]
+        if lead == 0xC2:
+            white = (second == 0x85) | (second == 0xA0)
+        elif lead == 0xE1:
+            white = (second == 0x9A) & (third == 0x80)
+        elif lead == 0xE2:
+            white = ((second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF))) | ((second == 0x81) & (third == 0x9F))
+        else:
+            white = (second == 0x80) & (third == 0x80)
+        for i in range(width):
+            space[at[white] + i] = True
+
+
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts one after another, and how many there are up to each text's end.
+
+    ``PATTERN`` never matches across their edges: a run of other signs than white space,
+    with the one blank before it, is cut between ASCII letters, digits and other signs (but
+    not from an apostrophe to a letter); the last sign of white space before such a run is a
+    unit where it isn't a blank, and so is what is left of a run of white space.
+    """
+    raw = data(texts)
+    starts, ends = offsets(texts)
+    space = _WHITE[raw]
+    if len(raw) and raw.max() >= 0xC2:
+        _wide_spaces(raw, space)
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[starts] = True
+    cut = cut[:-1]
+    word = np.zeros(len(raw), bool)
+    word[1:] = space[:-1] & ~space[1:] & ~cut[1:]
+    cut[1:] |= space[1:] != space[:-1]
+    word = np.flatnonzero(word)
+    last = word - 1
+    while (inner := (raw[last] & 0xC0) == 0x80).any():
+        last = last - inner
+    cut[last] = True
+    cut[word[raw[last] == 32]] = False
+    kind = _KIND[raw]
+    signs = np.minimum(kind, 3)
+    cut[1:] |= (kind[1:] > 0) & (kind[:-1] > 0) & (signs[1:] != signs[:-1]) & ~((kind[:-1] == 4) & (kind[1:] == 1))
+    at = np.flatnonzero(cut)
+    edges = np.append(at, len(raw)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(edges), pa.py_buffer(raw)), np.searchsorted(at, ends)
+
+
 class Encoder:
     """Encodes texts in one worker; keeps the tokens of up to ``CACHE_UNITS`` distinct units.
 
-    A unit is the text from one blank or line end to the next. Where no unit of a text
-    begins or ends with white space (but for the one blank before it), the pattern can't
-    match across units, so that each is split on its own; other texts go through the
-    pattern whole. Both give the same tokens.
+    Texts are cut into units by numpy, Arrow finds the distinct ones of a slice, and only
+    units that are new to the worker go through the pattern and the three steps. Tokens of
+    all texts are then gathered at once.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         import regex
 
         self.v, self.find = vocabulary, regex.compile(vocabulary.pattern).findall
-        self.units: dict[str, bytes | None] = {}
-        self.words: dict[str, bytes] = {}
+        self.table = pa.array(vocabulary.tokens, pa.binary())
         self.exact = self.seen = 0
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            tokens, exact = self.v.encode_words([w.encode() for w in some])
-            self.words.update(zip(some, tokens, strict=True))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of pre-tokens in a row, and how many each has."""
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            flat, size, exact = self.v.encode_words([w.encode() for w in some])
+            parts.append(flat)
+            sizes.append(size)
             self.exact += exact
             self.seen += len(some)
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def _keep(self, flat: np.ndarray, size: np.ndarray, known: list[str]) -> np.ndarray:
+        """Numbers under which the tokens of units are kept."""
+        first, n = len(self.known), len(self.known) + len(known)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while n > len(self.size):
+            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[first:n], self.size[first:n] = self.used + np.cumsum(size) - size, size
+        self.used += len(flat)
+        self.known.update(zip(known, range(first, n), strict=True))
+        return np.arange(first, n)
+
+    def _add(self, new: list[str]) -> np.ndarray:
+        """Numbers of units that weren't known."""
+        if self.v.pattern == PATTERN:  # one word or one run of white space, without asking the pattern
+            single = np.fromiter(((u[1:] if u[0] == " " else u).isalpha() or u.isspace() for u in new), bool, len(new))
+        else:
+            single = np.zeros(len(new), bool)
+        number = np.zeros(len(new), np.int64)
+        words = [new[i] for i in np.flatnonzero(single).tolist()]
+        number[single] = self._keep(*self._encoded(words), words)
+        rest = [new[i] for i in np.flatnonzero(~single).tolist()]
+        split = [self.find(u) for u in rest]
+        pieces = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
+        flat, size = self._encoded(list(pieces))
+        of = np.fromiter((pieces[w] for s in split for w in s), np.int64)
+        sizes = size[of]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
+        number[~single] = self._keep(csr_take(flat, (np.cumsum(size) - size)[of], sizes), np.diff(np.concatenate(([0], ends))), rest)
+        return number
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts in a row, and where each text's tokens end."""
+        if self.v.pattern == PATTERN:
+            unit, upto = units(texts)
+        else:  # the units of another pattern aren't known: whole texts
+            unit, upto = texts.fill_null(""), np.arange(1, len(texts) + 1)
+        coded = unit.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) + len(distinct) > CACHE_UNITS or self.used > CACHE_TOKENS:
+            self._forget()
+        get = self.known.get
+        number = np.fromiter((get(u, -1) for u in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if new.size:
+            number[new] = self._add([distinct[i] for i in new.tolist()])
+        of = number[coded.indices.to_numpy()]
+        size = self.size[of]
+        return csr_take(self.flat, self.start[of], size), np.concatenate(([0], np.cumsum(size)))[upto]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Tokens of each text, as the bytes of an int32 array."""
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
-        if len(self.words) > CACHE_UNITS:
-            self.words.clear()
-        if self.v.pattern != PATTERN:
-            found = {t: self.find(t) for t in set(texts)}
-            self.learn(set().union(*found.values()))
-            return [b"".join(map(self.words.__getitem__, found[t])) for t in texts]
-        parts = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        found, letters = {}, []
-        for u in set().union(*parts).difference(self.units):
-            body = u[1:] if u[:1] == " " else u
-            if body.isalpha():  # one word, without asking the pattern
-                letters.append(u)
-            elif u == "\n" or (body and not body[0].isspace() and not body[-1].isspace()):
-                found[u] = self.find(u)
-            else:
-                self.units[u] = None
-        for i in range(0, len(letters), 20_000):
-            some = letters[i : i + 20_000]
-            tokens, exact = self.v.encode_words([u.encode() for u in some])
-            self.units.update(zip(some, tokens, strict=True))
-            self.exact += exact
-            self.seen += len(some)
-        self.learn(set().union(*found.values()))
-        for u, w in found.items():
-            self.units[u] = b"".join([self.words[x] for x in w])
-        out: list[bytes] = []
-        for t, p in zip(texts, parts, strict=True):
-            try:
-                if "\0" in t:
-                    raise TypeError
-                out.append(b"".join(map(self.units.__getitem__, p)) if t else b"")
-            except TypeError:  # a unit that the pattern may match across
-                words = self.find(t)
-                self.learn(set(words))
-                out.append(b"".join(map(self.words.__getitem__, words)))
-        return out
-
-
-def decode_tokens(tokens: Iterable[int], table: list[bytes]) -> bytes:
-    """The bytes that tokens stand for."""
-    return b"".join([table[t] for t in tokens])
+        body, ends = self.tokens(pa.array(texts, pa.string()))
+        raw, ends = body.astype(np.int32).tobytes(), (ends * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def decoded(self, tokens: np.ndarray) -> pa.Array:
+        """The bytes of each token."""
+        return self.table.take(pa.array(tokens))
+
+    def round_trip(self, texts: pa.Array, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each text: are its tokens' bytes those of the text?"""
+        want, got = data(texts), self.decoded(tokens)
+        _, stop = offsets(texts)
+        _, token_stop = offsets(got)
+        reach = np.concatenate(([0], token_stop))[ends]
+        body = data(got)
+        if len(want) == len(body) and (reach == stop).all():
+            differ = np.concatenate(([0], np.cumsum(want != body)))
+            return np.diff(np.concatenate(([0], differ[stop]))) == 0
+        return np.array([np.array_equal(want[a:b], body[c:d]) for a, b, c, d in zip([0, *stop], stop, [0, *reach], reach, strict=False)], bool)
 
 
 _encoders: dict[int, Encoder] = {}
@@ -349,13 +460,6 @@ def vocabulary(path: str = VOCABULARY, pattern: str = PATTERN) -> Vocabulary:
     return _vocabularies[path, pattern]
 
 
-def token_lists(encoded: list[bytes], null: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """A list<int> array (null where ``null``) and the number of tokens of each row."""
-    size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-    at = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(encoded), np.int32)), mask=pa.array(null)), size
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_tokens, tokens, round_trip) of every document.
 
@@ -366,17 +470,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = worker_encoder(shared.value)
-        table = encoder.v.tokens
-        texts = batch.column(1).to_pylist()
-        null = np.array([t is None for t in texts], bool)
-        encoded = encoder.encode(["" if t is None else t for t in texts])
-        lists, size = token_lists(encoded, null)
-        same = [None if t is None else decode_tokens(np.frombuffer(e, np.int32).tolist(), table) == t.encode() for t, e in zip(texts, encoded, strict=True)]
+        texts = batch.column(1)
+        null = texts.is_null().to_numpy(zero_copy_only=False)
+        tokens, ends = encoder.tokens(texts)
+        at = np.concatenate(([0], ends))
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens), mask=pa.array(null))
+        same = encoder.round_trip(texts, tokens, ends)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size.astype(np.int32), mask=null), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "tokens", "round_trip"]
+            [batch.column(0), pa.array(np.diff(at).astype(np.int32), mask=null), lists, pa.array(same, mask=null)], names=["doc_id", "n_tokens", "tokens", "round_trip"]
         )
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(over_slices(run), SCHEMA)
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(over_slices(run, limit=BATCH_BYTES), f"doc_id {kind_of(docs, id_col)}, {SCHEMA}")
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", vocabulary_path: str = VOCABULARY) -> DataFrame:
@@ -388,14 +492,22 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens"
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path).tokens)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = pa.array(shared.value, pa.binary())
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                text = [None if t is None else decode_tokens(t, table).decode("utf-8", "replace") for t in part.column(1).to_pylist()]
+                lists = part.column(1)
+                if lists.flatten().null_count:
+                    raise ValueError("a token is null")
+                size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                got = table.take(lists.flatten())
+                reach = np.concatenate(([0], offsets(got)[1]))[np.concatenate(([0], np.cumsum(size)))].tolist()
+                body = data(got).tobytes()
+                null = lists.is_null().to_pylist()
+                text = [None if n else body[a:b].decode("utf-8", "replace") for n, a, b in zip(null, reach, reach[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select(tokens[id_col].cast("bigint").alias("doc_id"), tokens[tokens_col].alias("tokens")).mapInArrow(run, "doc_id bigint, text string")
+    return tokens.select(tokens[id_col].alias("doc_id"), tokens[tokens_col].alias("tokens")).mapInArrow(run, f"doc_id {kind_of(tokens, id_col)}, text string")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -26,8 +27,8 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a local folder is made
-    and set for the session.
+    Only where the session names none and runs on one machine (tests) a local folder is
+    made and set for the session; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = sc._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="textlab-")
     sc.setCheckpointDir(made)
     return made
@@ -54,18 +57,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shared(spark: SparkSession, path: str) -> None:
-    """Remove a table that ``materialize`` wrote."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def utf8(column: pa.Array) -> pa.Array:
-    """A string column as a plain (32-bit offset where possible) string array."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its file system; without one it is of Hadoop's default file system."""
+    p, system = _hadoop(spark, path)
+    return re.sub("^file:/+", "file:///", system.makeQualified(p).toString())
+
+
+def drop_shared(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            p, system = _hadoop(spark, path)
+            system.delete(p, True)
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    """A column's type as it is written in a schema: ids keep theirs."""
+    return df.schema[column].dataType.simpleString()
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,8 @@ Each task writes one shard under a name of its own attempt and returns the index
 what it wrote; the index holds the rows of successful attempts alone, so that a task that
 is run again, or twice, leaves a file that no reader looks at. Documents with a null text
 have no record; an empty text is a record without data. Repeated rows are repeated
-records; extra columns are ignored.
+records; an empty table has an empty index. Texts of any length are one record. Ids keep
+their type, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from textlab.llm import bpe
-from textlab.llm.common import csr_take, shared_path, slices
+from textlab.llm.common import csr_take, kind_of, qualified, shared_path, slices
 
-INDEX_SCHEMA = "doc_id bigint, shard string, offset bigint, length bigint, n_tokens bigint"
+INDEX_SCHEMA = "shard string, offset bigint, length bigint, n_tokens bigint"
 HEADER, FOOTER, CHUNK = 12, 4, 128
 
 
@@ -166,23 +167,23 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     v = bpe.vocabulary(vocabulary_path)
     shared = spark.sparkContext.broadcast(v)
     kind = np.uint16 if len(v.tokens) <= 1 << 16 else np.uint32
-    where = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    where, schema = qualified(spark, path), f"doc_id {kind_of(docs, id_col)}, {INDEX_SCHEMA}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.worker_encoder(shared.value)
         system, root = fs.FileSystem.from_uri(where)
         name, out, offset = f"{uuid.uuid4().hex}.rec", None, 0
         try:
-            for part in slices(batches):
+            for part in slices(batches, limit=bpe.BATCH_BYTES):
                 part = part.filter(part.column(1).is_valid())
                 if not part.num_rows:
                     continue
                 if out is None:
                     system.create_dir(f"{root}/shards", recursive=True)
                     out = system.open_output_stream(f"{root}/shards/{name}")
-                encoded = encoder.encode(part.column(1).to_pylist())
-                size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-                body = np.frombuffer(b"".join(encoded), np.int32).astype(kind).view(np.uint8)
+                tokens, ends = encoder.tokens(part.column(1))
+                size = np.diff(np.concatenate(([0], ends)))
+                body = tokens.astype(kind).view(np.uint8)
                 framed, at = frame(body, size * kind().itemsize)
                 out.write(framed)
                 yield pa.RecordBatch.from_arrays(
@@ -194,9 +195,9 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             if out is not None:
                 out.close()
 
-    index = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, INDEX_SCHEMA)
+    index = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
     index.write.parquet(f"{where}/index")
-    return spark.read.schema(INDEX_SCHEMA).parquet(f"{where}/index")
+    return spark.read.schema(schema).parquet(f"{where}/index")
 
 
 def read_records(index: DataFrame, path: str, wide: bool = False) -> DataFrame:
@@ -204,7 +205,7 @@ def read_records(index: DataFrame, path: str, wide: bool = False) -> DataFrame:
 
     Rows are gathered by shard within a batch, so that each shard is opened once.
     """
-    where = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    where = qualified(index.sparkSession, path)
     kind = np.uint32 if wide else np.uint16
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +223,7 @@ def read_records(index: DataFrame, path: str, wide: bool = False) -> DataFrame:
                         got[i] = np.frombuffer(parse(raw), kind).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "tokens"])
 
-    return index.select("doc_id", "shard", "offset", "length").mapInArrow(run, "doc_id bigint, tokens array<int>")
+    return index.select("doc_id", "shard", "offset", "length").mapInArrow(run, f"doc_id {kind_of(index, 'doc_id')}, tokens array<int>")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
