@@ -33,15 +33,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from textlab.llm.common import data, offsets, slices
+from textlab.llm.common import data, kind_of, offsets, slices
 from textlab.llm.words import WORD
 
 #: Edits allowed for each byte of an item.
 RATE = 0.1
 BLOCK_BYTES = 2 << 20
-BROADCAST_IDS = 2_000_000
-SCHEMA = "doc_id bigint, item_id bigint, distance int, budget int"
 
 
 def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +201,7 @@ def _matcher(items: list[tuple[int, bytes]], rate: float) -> Matcher:
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
     """Normalised items, by blocks of about ``limit`` bytes at most."""
-    items = benchmark.select(benchmark[id_col].cast("bigint").alias("id"), benchmark[text_col].alias("text")).where("text is not null")
+    items = benchmark.select(benchmark[id_col].alias("id"), benchmark[text_col].alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // limit))
     for b in range(n):
@@ -214,7 +213,9 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, limit: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, budget) of each document that holds a benchmark item."""
     spark = docs.sparkSession
-    read = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    kind = kind_of(benchmark, "item_id")
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    read = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def finder(items: list[tuple[int, bytes]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(items)
@@ -226,11 +227,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 if found:
                     rows, ns, distance, budget = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(rows)), pa.array([matcher.items[n][0] for n in ns], pa.int64()), pa.array(distance, pa.int32()), pa.array(budget, pa.int32())],
+                        [part.column(0).take(pa.array(rows)), pa.array([matcher.items[n][0] for n in ns], item_type), pa.array(distance, pa.int32()), pa.array(budget, pa.int32())],
                         names=["doc_id", "item_id", "distance", "budget"],
                     )
 
-        return read.mapInArrow(run, SCHEMA)
+        return read.mapInArrow(run, f"doc_id {kind_of(docs, id_col)}, item_id {kind}, distance int, budget int")
 
     return reduce(DataFrame.union, [finder(items) for items in blocks(benchmark, limit=limit)])
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlab.llm.common import data, offsets, over_slices
+from textlab.llm.common import data, kind_of, offsets, over_slices
 
 ORDER = 4
 #: Bound of the sample that the filters are made from: labelled rows of each language.
@@ -35,7 +35,7 @@ LOG_POSITIONS, HASHES = 20, 2
 #: An n-gram is put into each language whose rate is at least this part of its highest rate.
 RATE = 0.3
 MIN_SHARE = 0.15
-SCHEMA = "doc_id bigint, lang string, share double, n_grams bigint"
+SCHEMA = "lang string, share double, n_grams bigint"
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
         lang, share, n = classify(shared.value, batch.column(1))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(share, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "lang", "share", "n_grams"])
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(over_slices(run), SCHEMA)
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(over_slices(run), f"doc_id {kind_of(docs, id_col)}, {SCHEMA}")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,12 +45,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.common import over_slices, slices
+from textlab.llm.common import kind_of, over_slices, slices
 
 #: Default key; a deployment gives its own.
 KEY = b"textlab surrogate key"
 ROUNDS = 8
-SCHEMA = "doc_id bigint, text string, n_entities int"
+SCHEMA = "text string, n_entities int"
 
 MALE = "James John Robert Michael William David Thomas Daniel Paul Mark Hans Peter Klaus Jürgen Wolfgang Pierre Jean Michel François Jacques José Juan Carlos Luis Miguel Antonio".split()
 FEMALE = "Mary Patricia Jennifer Linda Elizabeth Susan Sarah Karen Nancy Anna Ursula Monika Petra Sabine Marie Nathalie Isabelle Sylvie Françoise María Carmen Josefa Isabel Dolores Pilar".split()
@@ -374,7 +374,7 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
         done = [(None, 0) if t is None else replaced(t, key) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], names=["doc_id", "text", "n_entities"])
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(over_slices(run), SCHEMA)
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(over_slices(run), f"doc_id {kind_of(docs, id_col)}, {SCHEMA}")
 
 
 def replace_in(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
