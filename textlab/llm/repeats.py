@@ -6,23 +6,28 @@ word by word, in another document. All are found, and nothing else is marked.
 1. *Anchors.* In every stretch of ``LEAST`` words the least hash of its ``WIDTH``-word
    shingles marks an anchor. Two equal stretches have the same anchor, so that a passage
    can only lie in the ``LEAST`` words around an anchor whose hash occurs in two documents.
-2. *Whole contexts.* Anchors are counted by hash and by a fingerprint of all the words
-   around. A context that two documents share whole is a passage; in repetitive corpora
-   that settles nearly all copies, and leaves one representative of each context.
-3. *Index.* The words around the representatives of an anchor go to one task, which builds
-   the suffix array and the run-compressed Burrows-Wheeler transform of all its contexts
-   (an anchor's contexts have an alphabet of their own). The longest common prefixes are
-   computed at the sampled run heads alone, and streamed from there in text order, as they
-   fall by one a word in between. That gives each word's matching statistic, the longest
-   match with a context of another document; those of ``LEAST`` or more are marked.
+2. *Whole contexts.* Anchors are counted by hash, and those left by hash and by a fingerprint
+   of all the words around, in partly merged aggregates. A context that two documents share
+   whole is a passage; each context has one representative from here on.
+3. *Index.* The words around the representatives of an anchor go to one task, which makes
+   the run-compressed Burrows-Wheeler transform of all its contexts (an anchor's contexts
+   have an alphabet of their own): the word and the length of each run, and the places of
+   the suffixes at both ends of each run. The suffix array that it is made from is dropped.
+   The places at run heads, each with the suffix before it and their common prefix, give
+   every other place's neighbour and common prefix by a predecessor search: both go on as
+   they are from word to word within a run, the common prefix less by one. Matching
+   statistics stream from there, in stretches of ``STRETCH`` words; a neighbour of the same
+   document is stepped over. Matches of ``LEAST`` or more are marked.
    An anchor with more than ``CROWDED`` different contexts (where a passage begins or ends
    that very many documents hold) isn't for one task: each stretch of ``LEAST`` words of
    its contexts is hashed and counted by a distributed aggregate, with the same result.
-4. Marks go back to all documents that have the context, and are joined to passages.
+4. Marks go back to all documents that have the context, by a join that adaptive execution
+   splits where very many do, and are joined to passages.
 
-Defined results: a null text and one of fewer than ``LEAST`` words have no passages. What
-repeats within one document only is not marked. Rows with the same id are one document,
-rows with a null id none. An empty table has no passages. Extra columns are ignored.
+Defined results: a null text and one of fewer than ``LEAST`` words have no passages; texts
+are read whole, whatever their length. What repeats within one document only is not marked.
+Rows with the same id are one document, rows with a null id none. An empty table has no
+passages. Ids keep their type. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,14 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlab.llm.common import csr_take, materialize, over_slices, slices
+from textlab.llm.common import csr_take, drop_shared, kind_of, materialize, over_slices, slices
 from textlab.llm.words import hashed_words, mix, shingles
 
 #: Words of the shortest passage, and of an anchor's shingle.
 LEAST, WIDTH = 50, 8
 #: Different contexts of an anchor that one task indexes at most; more are counted instead.
 CROWDED = 4096
-ANCHOR_SCHEMA = "doc_id bigint, place int, anchor bigint, print bigint, low int, high int"
+#: Words whose matching statistics are streamed at a time.
+STRETCH = 1 << 17
+ANCHOR_SCHEMA = "place int, anchor bigint, print bigint, low int, high int"
 INDEX_SCHEMA = "anchor bigint, print bigint, low int, high int"
 
 _BASE = 0x9E3779B97F4A7C15
@@ -111,10 +118,10 @@ def stretches(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: i
     return context, low, mix((total[at + least] - total[at]) * _powers(_INVERSE, len(words) + 1)[at])
 
 
-def suffixes(words: np.ndarray, group: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of contexts one after another, and the ranks by 1, 2, 4, ... words.
+def suffixes(words: np.ndarray, group: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of contexts one after another, and each word's number in its group's alphabet (from 1).
 
-    A suffix ends with its context. Suffixes of different groups share no words.
+    A suffix ends with its context; equal ones are ordered by place.
     """
     n = len(words)
     context = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
@@ -124,7 +131,7 @@ def suffixes(words: np.ndarray, group: np.ndarray, starts: np.ndarray) -> tuple[
     change[1:] = (words[order[1:]] != words[order[:-1]]) | (group[context[order[1:]]] != group[context[order[:-1]]])
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(change)  # from 1; 0 is the end of a context
-    ranks = [rank.astype(np.int32)]
+    letters = rank
     span = 1
     longest = int(np.diff(np.append(starts, n)).max(initial=0))
     place = np.arange(n)
@@ -136,91 +143,123 @@ def suffixes(words: np.ndarray, group: np.ndarray, starts: np.ndarray) -> tuple[
         change[1:] = key[order[1:]] != key[order[:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(change)
-        ranks.append(rank.astype(np.int32))
         span *= 2
-    return order, ranks
+    return order, letters
 
 
-def common(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def common(letters: np.ndarray, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
     """Words that the suffixes at ``a`` and ``b`` have in common at their front."""
-    a, b = a.copy(), b.copy()
-    size = np.zeros(len(a), np.int64)
-    ea, eb = ends[a], ends[b]
-    n = len(ends)
-    for level in reversed(range(len(ranks))):
-        step, r = 1 << level, ranks[level]
-        inside = (a + step <= ea) & (b + step <= eb)
-        same = inside & (r[np.minimum(a, n - 1)] == r[np.minimum(b, n - 1)])
-        size[same] += step
-        a[same] += step
-        b[same] += step
-    # what is left is shorter than 2 ** levels, but equal suffixes may go on: repeat at the widest step
-    more = np.flatnonzero((a < ea) & (b < eb) & (size >= (1 << len(ranks)) - 1))
-    if more.size:
-        size[more] += common(ranks, a[more], b[more], ends)
+    size, lane, step = np.zeros(len(a), np.int64), np.arange(len(a)), 0
+    while lane.size:
+        lane = lane[(a[lane] + step < end_a[lane]) & (b[lane] + step < end_b[lane])]
+        lane = lane[letters[a[lane] + step] == letters[b[lane] + step]]
+        step += 1
+        size[lane] = step
     return size
 
 
-def statistics(words: np.ndarray, group: np.ndarray, document: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each word: the longest match from it on with a context of another document of its group.
+class RunIndex:
+    """The run-compressed Burrows-Wheeler transform of contexts, with the places at both ends of each run.
 
-    ``document`` and ``group`` are by context. Matches at both neighbours in the suffix
-    order that belong to another document are taken; no other suffix matches further.
+    ``letter`` and ``first`` are the letter and the first rank of each run; letters below 0
+    are the beginnings of contexts. ``above`` has the places of run heads in text order, the
+    place of the suffix before each in suffix order (-1: none) and their common prefix;
+    ``below`` the same for run ends and the suffix after. All grow with the runs.
     """
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.int64)
-    order, ranks = suffixes(words, group, starts)
-    context = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-    ends = np.append(starts[1:], n)[context]
-    # the transform: each suffix's word before, in suffix order; contexts begin with a sign of their own
-    before = np.empty(n, np.int64)
-    before[1:] = ranks[0][:-1]
-    before[starts] = -1 - np.arange(len(starts))
-    transform = before[order]
-    head = np.ones(n, bool)
-    head[1:] = transform[1:] != transform[:-1]
-    # common prefixes at run heads, then streamed: within a run they fall by one from word to word
-    common_before = np.zeros(n, np.int64)  # by place in the text
-    heads = np.flatnonzero(head)
-    heads = heads[heads > 0]
-    common_before[order[heads]] = common(ranks, order[heads - 1], order[heads], ends)
-    known = np.zeros(n, bool)
-    known[order[heads]] = True
-    known[order[0]] = True
-    known[starts] = True
-    last = np.maximum.accumulate(np.where(known, np.arange(n), 0))
-    streamed = np.maximum(common_before[last] - (np.arange(n) - last), 0)
-    lcp = streamed[order]  # of each suffix with the one before it in suffix order
-    lcp[0] = 0
-    doc = document[context][order]
-    up = _with_other(lcp, doc)
-    flipped = np.append(lcp[1:], 0)[::-1]
-    down = _with_other(flipped, doc[::-1])[::-1]
-    out = np.empty(n, np.int64)
-    out[order] = np.maximum(up, down)
-    return out
 
-
-def _with_other(lcp: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Common prefix with the nearest suffix before that is of another document."""
-    n = len(doc)
-    run = np.ones(n, bool)
-    run[1:] = doc[1:] != doc[:-1]
-    out = lcp.copy()
-    begin = np.maximum.accumulate(np.where(run, np.arange(n), 0))
-    step = 1
-    depth = np.arange(n) - begin
-    while step <= depth.max(initial=0):  # least of all from the run's begin on, by doubling
-        far = np.flatnonzero(depth >= step)
-        out[far] = np.minimum(out[far], out[far - step])
-        step *= 2
+    def __init__(self, words: np.ndarray, group: np.ndarray, starts: np.ndarray) -> None:
+        order, letters = suffixes(words, group, starts)
+        self.n, self.starts = len(words), starts
+        before = np.empty(self.n, np.int64)
+        before[1:] = letters[:-1]
+        before[starts] = -1 - np.arange(len(starts))
+        transform = before[order]
+        self.first = np.flatnonzero(np.append(True, transform[1:] != transform[:-1]))
+        self.letter = transform[self.first]
+        head, end = order[self.first], order[np.append(self.first[1:], self.n) - 1]
+        # suffixes by first letter, and those of one letter, which no suffix goes before
+        self.size = np.bincount(letters, minlength=int(letters.max()) + 2)
+        self.alone = np.bincount(letters[np.append(starts[1:], self.n) - 1], minlength=len(self.size))
+        ends = np.append(starts[1:], self.n)
+        stop = lambda at: ends[np.searchsorted(starts, at, "right") - 1]
+        lcp = common(letters, end[:-1], head[1:], stop(end[:-1]), stop(head[1:]))
+        self.above = self._sampled(head, np.append(-1, end[:-1]), np.append(0, lcp))
+        self.below = self._sampled(end, np.append(head[1:], -1), np.append(lcp, 0))
+        # runs by letter, for ranks
+        self.by_letter = np.lexsort((np.arange(len(self.letter)), self.letter))
+        length = np.diff(np.append(self.first, self.n))[self.by_letter]
+        self.before_run = np.cumsum(length) - length
+
+    @staticmethod
+    def _sampled(at: np.ndarray, other: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(at)
+        return at[order], other[order], lcp[order]
+
+    @staticmethod
+    def step(sample: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The neighbours of the suffixes at some places (-1: none) and the common prefixes with them."""
+        k = np.searchsorted(sample[0], at, "right") - 1
+        far = at - sample[0][k]
+        other, lcp = sample[1][k], sample[2][k]
+        return np.where(other < 0, -1, other + far), np.maximum(lcp - far, 0)
+
+    def rank(self, letter: int, at: int) -> int:
+        """How often a letter stands before a rank of the transform."""
+        a, z = np.searchsorted(self.letter[self.by_letter], [letter, letter + 1])
+        if a == z:
+            return 0
+        runs = self.by_letter[a:z]
+        k = int(np.searchsorted(self.first[runs], at))  # runs of the letter that begin before
+        if not k:
+            return 0
+        begin = int(self.first[runs[k - 1]])
+        end = int(self.first[runs[k - 1] + 1]) if runs[k - 1] + 1 < len(self.first) else self.n
+        return int(self.before_run[a + k - 1] - self.before_run[a]) + min(at, end) - begin
+
+    def count(self, letters: list[int]) -> int:
+        """How often a string of letters occurs, by backward search."""
+        low, high = 0, self.n
+        for i, c in enumerate(reversed(letters)):
+            if not 0 < c < len(self.size):
+                return 0
+            begin = int(self.size[:c].sum())
+            low, high = (begin, begin + int(self.size[c])) if not i else (begin + int(self.alone[c]) + self.rank(c, x) for x in (low, high))
+            if low >= high:
+                return 0
+        return high - low
+
+    def nearest(self, sample: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, document: np.ndarray, least: int) -> np.ndarray:
+        """The common prefix with the nearest suffix, on one side, of another document; 0 where it is below ``least``."""
+        own = document[np.searchsorted(self.starts, at, "right") - 1]
+        other, size = self.step(sample, at)
+        size[(other < 0) | (size < least)] = 0
+        lane = np.flatnonzero(size)
+        while (lane := lane[document[np.searchsorted(self.starts, other[lane], "right") - 1] == own[lane]]).size:
+            other[lane], lcp = self.step(sample, other[lane])
+            size[lane] = np.minimum(size[lane], lcp)
+            size[lane[(other[lane] < 0) | (size[lane] < least)]] = 0
+            lane = lane[size[lane] > 0]
+        return size
+
+
+def statistics(words: np.ndarray, group: np.ndarray, document: np.ndarray, starts: np.ndarray, least: int = 1) -> np.ndarray:
+    """For each word: the longest match from it on with a context of another document of its group; 0 where it is below ``least``.
+
+    ``document`` and ``group`` are by context. Matches at the nearest suffixes of another
+    document on both sides are taken; no other suffix matches further.
+    """
+    out = np.zeros(len(words), np.int64)
+    if len(words):
+        index = RunIndex(words, group, starts)
+        for a in range(0, len(words), STRETCH):
+            at = np.arange(a, min(a + STRETCH, len(words)))
+            out[at] = np.maximum(index.nearest(index.above, at, document, least), index.nearest(index.below, at, document, least))
     return out
 
 
 def marks(words: np.ndarray, group: np.ndarray, document: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context, first and last word (within the context) of the stretches that repeat."""
-    size = statistics(words, group, document, starts)
+    size = statistics(words, group, document, starts, least)
     at = np.flatnonzero(size >= least)
     if not at.size:
         none = np.zeros(0, np.int64)
@@ -237,7 +276,8 @@ def marks(words: np.ndarray, group: np.ndarray, document: np.ndarray, starts: np
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, width: int = WIDTH, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, first_word, last_word) of all stretches that repeat in other documents; words count from 0, ``last_word`` is the last one's number."""
-    source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null and text is not null")
+    kind = kind_of(docs, id_col)
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null and text is not null")
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         row, p, h, prints, a, z = anchors(batch.column(1), least, width)
@@ -246,20 +286,17 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         ints = lambda x: pa.array(x.astype(np.int32))
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ints(p), pa.array(h.view(np.int64)), pa.array(prints.view(np.int64)), ints(a), ints(z)], names=["doc_id", "place", "anchor", "print", "low", "high"])
 
-    found = source.mapInArrow(over_slices(find), ANCHOR_SCHEMA)
-    by_context = Window.partitionBy("anchor", "print")
-    by_anchor = Window.partitionBy("anchor")
-    # one shuffle by anchor serves both counts
-    spread = found.repartition("anchor").withColumn("least", F.min("doc_id").over(by_anchor)).withColumn("most", F.max("doc_id").over(by_anchor)).where("least < most")
-    spread = spread.withColumn("c_least", F.min("doc_id").over(by_context)).withColumn("c_most", F.max("doc_id").over(by_context))
-    spread = spread.withColumn("one", F.row_number().over(Window.partitionBy("anchor", "print").orderBy("doc_id", "place")) == 1)
-    spread = spread.withColumn("contexts", F.sum(F.col("one").cast("int")).over(by_anchor))
-    shared = materialize(spread.select("doc_id", "place", "anchor", "print", "low", "high", "one", (F.col("contexts") > 1).alias("open"), (F.col("contexts") > crowded).alias("crowded"), (F.col("c_least") < F.col("c_most")).alias("whole")), "anchors")
-
-    settled = shared.where(F.col("whole") & (F.col("high") - F.col("low") >= least)).select("doc_id", "low", "high")
+    found = materialize(source.mapInArrow(over_slices(find), f"doc_id {kind}, {ANCHOR_SCHEMA}"), "anchors")
+    spread = found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
+    shared = materialize(found.join(spread, "anchor", "left_semi"), "shared")
+    drop_shared(found)
+    by_context = shared.groupBy("anchor", "print").agg(F.min(F.struct("doc_id", "place", "low", "high")).alias("one"), F.max("doc_id").alias("most"))
+    by_context = materialize(by_context.select("anchor", "print", "one.*", (F.col("one.doc_id") < F.col("most")).alias("whole")), "representatives")
+    per_anchor = by_context.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
 
     # words of the representatives of contexts that may match in part
-    wanted = shared.where("one and open").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor", "print", "low", "high", "whole", "crowded")).alias("wanted"))
+    open_ = by_context.join(per_anchor, "anchor").withColumn("crowded", F.col("contexts") > crowded)
+    wanted = open_.groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor", "print", "low", "high", "whole", "crowded")).alias("wanted"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -282,7 +319,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 names=["doc_id", "anchor", "print", "low", "whole", "crowded", "words"],
             )
 
-    texts = source.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, "doc_id bigint, anchor bigint, print bigint, low int, whole boolean, crowded boolean, words array<bigint>")
+    texts = source.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, f"doc_id {kind}, anchor bigint, print bigint, low int, whole boolean, crowded boolean, words array<bigint>")
     texts = materialize(texts, "contexts")
     placed = texts.where("not crowded").repartition("anchor").sortWithinPartitions("anchor")
 
@@ -338,17 +375,16 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 rows = pa.array(context)
                 yield pa.RecordBatch.from_arrays([*[batch.column(j).take(rows) for j in range(4)], pa.array(low.astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "anchor", "print", "whole", "from", "stretch"])
 
-    each = texts.where("crowded").select("doc_id", "anchor", "print", "whole", "words").mapInArrow(hashed, "doc_id bigint, anchor bigint, print bigint, whole boolean, from int, stretch bigint")
+    each = texts.where("crowded").select("doc_id", "anchor", "print", "whole", "words").mapInArrow(hashed, f"doc_id {kind}, anchor bigint, print bigint, whole boolean, from int, stretch bigint")
     common_ = each.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.max("whole").alias("many")).where("a < z or many").select("anchor", "stretch")
     counted = each.join(common_, ["anchor", "stretch"]).select("anchor", "print", "from", (F.col("from") + least).alias("to"))
-    partial = partial.union(counted)
-    back = shared.where("open").join(partial, ["anchor", "print"]).select("doc_id", (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high"))
+    settled = by_context.where(F.col("whole") & (F.col("high") - F.col("low") >= least)).select("anchor", "print", F.lit(0).alias("from"), (F.col("high") - F.col("low")).alias("to"))
+    back = shared.join(settled.union(partial).union(counted), ["anchor", "print"]).select("doc_id", (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high"))
 
     # join overlapping and touching stretches
     order = Window.partitionBy("doc_id").orderBy("low", "high")
-    every = settled.union(back)
     reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = every.withColumn("new", F.coalesce(F.col("low") > reach, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = back.withColumn("new", F.coalesce(F.col("low") > reach, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy("doc_id", "island").agg(F.min("low").alias("first_word"), (F.max("high") - 1).alias("last_word")).drop("island")
 
 
