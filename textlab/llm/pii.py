@@ -15,15 +15,23 @@ The collision checks are cycle walks: a candidate that isn't of the entity's cla
 address that isn't public, an invented name that is also a listed one) is permuted again
 until it is, which keeps the map one-to-one on the class.
 
-Kinds: e-mail addresses, phone numbers, card numbers (13 to 19 digits), IBANs, US social
-security numbers, IPv4 addresses, secrets (any value assigned to a word like *password*,
+Kinds: e-mail addresses (letters of any script), phone numbers (international and US ones,
+those with a leading zero in the groups of Germany and France, any after a word like
+*phone*), card numbers (13 to 19 digits), IBANs, US social
+security numbers, IPv4 and IPv6 addresses, secrets (any value assigned to a word like *password*,
 *token* or *secret*, long ones with a digit assigned to *key* or *auth*, and keys with
 well-known prefixes), and names after a title: any number of capitalised words of any
 script with capitals, initials, hyphens, apostrophes, words like *van* between. Further
 mentions of such a word in the same document, also in capitals, are replaced alike.
 
+The key comes from a parameter or the session's ``spark.textlab.pii.key``; where neither is
+given it is random, and surrogates are the same within an application alone. With the key
+surrogates can be walked back, so it isn't kept anywhere else.
+
 A word before the last is a first name. Where it isn't listed, its surrogate has an ending
 of the gender of the title; so one such name has a surrogate for each gender it occurs with.
+Slavic family names keep the ending of their gender, and both forms have one stem. Names
+without a title aren't found, but for further mentions of one that had a title.
 
 Defined results: a null text stays null with 0 entities, an empty one stays empty. Texts are
 read whole. Repeated rows give repeated rows; an empty table gives an empty one. Text that
@@ -34,7 +42,9 @@ such a column of whole numbers.
 
 from __future__ import annotations
 
+import ipaddress
 import re
+import secrets
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, partial
@@ -47,8 +57,10 @@ from pyspark.sql import types as T
 
 from textlab.llm.common import kind_of, over_slices, slices
 
-#: Default key; a deployment gives its own.
-KEY = b"textlab surrogate key"
+#: The setting of the session that has the key.
+KEY_SETTING = "spark.textlab.pii.key"
+#: The key where neither a parameter nor the session gives one: random, of this application alone.
+KEY = secrets.token_bytes(32)
 ROUNDS = 8
 SCHEMA = "text string, n_entities int"
 
@@ -59,12 +71,17 @@ FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Ир
 LISTS = [[n.lower() for n in names] for names in (MALE, FEMALE, MALE_CYRILLIC, FEMALE_CYRILLIC)]
 LISTED = {n: names for names in LISTS for n in names}
 
-_EMAIL = r"(?<![\w.%+-])(?P<email>[\w%+-](?:[\w.%+-]{0,126}[\w%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24})(?![\w-])"
+_EMAIL = r"(?<![\w.%+-])(?P<email>[\w%+-](?:[\w.%+-]{0,126}[\w%+-])?@(?:[^\W_](?:[^\W_]|-){0,62}\.){1,8}[^\W\d_]{2,24})(?![\w-])"
 _IP = r"(?<![\w.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\w|\.\d)"
+_IP6 = r"(?<![\w:.])(?P<ip6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
 _IBAN = r"(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
 _CARD = r"(?<![\w.-])(?P<card>\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}|\d{4}([ -])\d{6}\3\d{5})(?![\w-])"
 _SSN = r"(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
 _PHONE = r"(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\5\d{4})(?!\w)"
+# numbers without the country: with a leading zero as in Germany and France, or after a word like phone
+_NATIONAL = re.compile(r"0(?<!\w0)(?:[1-9](?:[ .-]\d\d){4}|[1-9]\d{1,3}[ /-]\d{3,4} ?\d{3,5})(?![\w-])")
+_CALL_WORDS = "tel phone fon phon téléphon teléfono mobil móvil fax handy тел".split()
+_CALLED = re.compile(r"(?<!\w)(?i:tel|phone|telephone|telefon|téléphone|teléfono|fon|mobile|mobil|móvil|fax|handy|тел|телефон)\b[.: ]{1,3}(\(?\d(?:[ ./()-]{0,2}\d){6,13})(?![\w-])")
 _PASSWORD = r"password|passwd|pwd|passphrase|passcode|passwort|kennwort|contraseña|mot de passe|пароль|token|secret|api[_-]?key|access[_-]?key"
 _SECRET = (
     r"(?i:(?<![^\W_])(?:" + _PASSWORD + r")(?![^\W_])[\"']?\s{0,3}[=:]\s{0,3})(?:\"(?P<quoted>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|[\"']?(?P<secret>(?:(?![,;&]+[\w.-]+[\"']?\s?[=:])[^\s\"'<>])*[^\s\"'<>.,;:!?&)\]}]))"
@@ -92,7 +109,7 @@ _BETWEEN = "(?:(?:van|von|der|den|ten|ter|zu|de|del|della|di|da|dos|du|la|le|al|
 _NAME = re.compile(f"\\b(?P<titles>(?:{_ANY_TITLE}(?:\\.\\s{{0,3}}|\\s{{1,3}}))+)(?P<names>{_BETWEEN}{_SINGLE}(?:(?:[ \u00a0]{{1,2}}|(?<=\\.)){_BETWEEN}{_SINGLE})*)")
 _WORD = re.compile(_PART)
 _AT = re.compile(_EMAIL)
-_DIGITS = re.compile("|".join((_IP, _CARD.replace(r"\2", r"(?P=a)").replace(r"\3", r"(?P=b)").replace("([ -])", "(?P<a>[ -])", 1).replace("([ -])", "(?P<b>[ -])", 1), _SSN, _PHONE.replace(r"([.-])\d{3}\5", r"(?P<c>[.-])\d{3}(?P=c)"), _IBAN)))
+_DIGITS = re.compile("|".join((_IP, _IP6, _CARD.replace(r"\2", r"(?P=a)").replace(r"\3", r"(?P=b)").replace("([ -])", "(?P<a>[ -])", 1).replace("([ -])", "(?P<b>[ -])", 1), _SSN, _PHONE.replace(r"([.-])\d{3}\5", r"(?P<c>[.-])\d{3}(?P=c)"), _IBAN)))
 _KEYS = re.compile(_SECRET)
 _HINT = re.compile(r"(?i:token|secret|pass[wpce]|pwd|kennwort|contraseña|пароль|key|auth)|AKIA|gh[po]_|sk-|xox[bp]-")
 
@@ -253,6 +270,23 @@ def _ip(x: str, key: bytes) -> str:
     return ".".join(map(str, [*o[:n], *new]))
 
 
+def _ip6(x: str, key: bytes) -> str:
+    """Groups keep their length, groups of zeros stay, and so does a network prefix that isn't a public one; a public one's first digit stays."""
+    texts = re.findall("[0-9A-Fa-f]+", x)
+    value = [int(t, 16) for t in texts]
+    base, radix = [], []
+    for i, v in enumerate(value):
+        top = not i and x[0] != ":"
+        low = 16 ** (len(f"{v:x}") - 1)
+        public = 0x2000 <= v < 0x4000
+        base.append(v if not v or (top and not public) else v & 0xF000 if top else low)
+        radix.append(1 if not v or (top and not public) else 0x1000 if top else 15 * low)
+    new = walk([v - b for v, b in zip(value, base, strict=True)], radix, key, b"ip6" + b"".join(b"%x," % b for b in base))
+    groups = iter(f"{b + d:x}".zfill(len(t)) for b, d, t in zip(base, new, texts, strict=True))
+    out = re.sub("[0-9A-Fa-f]+", lambda _: next(groups), x)
+    return out.upper() if x != x.lower() else out
+
+
 def _iban(x: str, key: bytes) -> str:
     """Country stays; digits and letters change; the two check digits stay right, or stay wrong by as much."""
     plain = x.replace(" ", "")
@@ -284,9 +318,29 @@ def _key(x: str, key: bytes) -> str:
 _ENDINGS = (("ina", "in", "inu"), ("лина", "лин", "лину"), ("ινα", "ιν", "ινυ"))
 
 
+_FAMILY = re.compile("(.{2,}(?:ов|ев|ёв|ин|ын))(а?)|(.{2,}ск)(ий|ая|ой)")
+
+
+def _family(low: str) -> tuple[str, str, str] | None:
+    """Stem, suffix and ending by gender of a Slavic family name."""
+    m = _FAMILY.fullmatch(low)
+    if not m or low.endswith(_ENDINGS[1]):
+        return None
+    body, ending = (m[1], m[2]) if m[1] else (m[3], m[4])
+    return body[:-2], body[-2:], ending
+
+
 def _name(x: str, key: bytes, gender: str = "") -> str:
-    """Listed first names become listed names of the same gender and script, others invented ones."""
+    """Listed first names become listed names of the same gender and script, others invented ones.
+
+    Family names whose ending tells the gender keep it, and the stem of both forms is one.
+    """
     low = folded(x)
+    if not gender and (parts := _family(low)):
+        stem, suffix, ending = parts
+        every = ("ий", "ая", "ой") if suffix == "ск" else ("", "а")
+        fits = lambda s: not any((s + suffix + e) in LISTED or (s + suffix + e).endswith(_ENDINGS[1]) for e in every)
+        return with_case(permuted(stem, key, b"family" + suffix.encode(), fits) + suffix + ending, x)
     if low in LISTED:
         names = LISTED[low]
         new = names[walk([names.index(low)], [len(names)], key, b"name" + names[0].encode())[0]]
@@ -296,12 +350,12 @@ def _name(x: str, key: bytes, gender: str = "") -> str:
     ending = ""
     if marks and len(low) > 1:
         ending = marks["fm".index(gender)] if gender else marks[2] if low.endswith(marks) else ""
-    good = lambda s: s not in LISTED and (bool(ending) or not (marks and s.endswith(marks)))
+    good = lambda s: s not in LISTED and (bool(ending) or not ((marks and s.endswith(marks)) or _family(s)))
     new = with_case(permuted(low, key, b"name", good), x)
     return new + (ending.upper() if len(x) > 1 and x == x.upper() else ending)
 
 
-SURROGATE: dict[str, Callable[[str, bytes], str]] = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "iban": _iban, "secret": _secret, "key": _key, "name": _name, "name_m": partial(_name, gender="m"), "name_f": partial(_name, gender="f")}
+SURROGATE: dict[str, Callable[[str, bytes], str]] = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "ip6": _ip6, "iban": _iban, "secret": _secret, "key": _key, "name": _name, "name_m": partial(_name, gender="m"), "name_f": partial(_name, gender="f")}
 
 
 @lru_cache(maxsize=1 << 16)
@@ -310,6 +364,23 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     return SURROGATE[kind](text, key)
 
 
+def _is_ip6(x: str) -> bool:
+    """An address with a digit and more than three signs, not a name like ``ab::cd``."""
+    if not any(c.isdecimal() for c in x) or len(x.replace(":", "")) < 4:
+        return False
+    try:
+        ipaddress.IPv6Address(x)
+    except ValueError:
+        return False
+    return True
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The session's key, or this application's random one."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else KEY
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of a text's entities, in order and without overlaps; of those that overlap the first wins, then the longest."""
     found: list[tuple[int, int, str]] = []
@@ -322,7 +393,12 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 found.append((*m.span(kind), "key" if kind == "key" else "secret"))
     for m in _DIGITS.finditer(text):
         kind = m.lastgroup if m.lastgroup in SURROGATE else next(k for k in ("card", "phone", "ip", "ssn", "iban") if m[k])
-        found.append((*m.span(kind), kind))
+        if kind != "ip6" or _is_ip6(m[kind]):
+            found.append((*m.span(kind), kind))
+    found += [(*m.span(), "phone") for m in _NATIONAL.finditer(text)]
+    low = text.lower()
+    if any(w in low for w in _CALL_WORDS):
+        found += [(*m.span(1), "phone") for m in _CALLED.finditer(text)]
     names: dict[str, str] = {}
     titled: list[tuple[int, int, str]] = []
     for m in _NAME.finditer(text):
@@ -367,8 +443,9 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, int]:
     return "".join([*out, text[at:]]), len(found)
 
 
-def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes | None = None) -> DataFrame:
     """(doc_id, text, n_entities) of every document, in one pass without a shuffle."""
+    key = key or session_key(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         done = [(None, 0) if t is None else replaced(t, key) for t in batch.column(1).to_pylist()]
@@ -377,8 +454,9 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(over_slices(run), f"doc_id {kind_of(docs, id_col)}, {SCHEMA}")
 
 
-def replace_in(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def replace_in(docs: DataFrame, text_col: str = "text", key: bytes | None = None) -> DataFrame:
     """The documents with surrogates in their texts, with all of their columns."""
+    key = key or session_key(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
