@@ -131,3 +131,41 @@ def test_train_store_load_score(spark, tmp_path):
         train.train("naive_bayes", df.withColumn("b", F.lit(True)), "label", ["b"])
     with pytest.raises(ValueError, match="unknown model type"):
         train.train("forest", df, "label", ["kind"])
+
+
+def test_text_model_equals_the_one_on_the_driver(spark):
+    from textlab.plans import train
+
+    rows = [(1, "good fine day", "p"), (2, "bad day", "n"), (3, "fine fine good", "p"), (4, "awful bad", "n"), (5, "day", None), (6, None, "n"), (7, "unknown words", None), (8, "", None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label string")
+    fields = [{"name": "text", "analyzer": "standard"}]
+    driver = score(train.with_tokens(df, fields), train.train("naive_bayes", df, "label", fields))
+    want = {r.doc_id: r.prediction for r in driver.collect()}
+    got = {r.doc_id: r.prediction for r in train.score_text(df, train.text_bayes(df, "label")).collect()}
+    assert set(got) == set(want) == set(range(1, 9))
+    for i in want:
+        assert got[i]["class"] == want[i]["class"] and got[i]["probs"] == pytest.approx(want[i]["probs"])
+    with pytest.raises(ValueError, match="two classes"):
+        train.text_bayes(df.where("label = 'p'"), "label")
+
+
+def test_large_models_and_vocabularies_raise(spark, monkeypatch):
+    from textlab.operators import spec
+    from textlab.plans import train
+
+    df = spark.createDataFrame([("a b c d", "x"), ("e f", "y")], "text string, label string")
+    monkeypatch.setattr(train, "MODEL_VALUES", 2)
+    with pytest.raises(ValueError, match="more than 2 values"):
+        train.train("naive_bayes", df, "label", [{"name": "text", "analyzer": "standard"}])
+    monkeypatch.setattr(spec, "VOCABULARY", 3)
+    request = {"features": [{"field": "text", "number": "tf", "type": "string", "tokens": "all_terms", "index": "i", "min_doc_freq": 0}]}
+    with pytest.raises(ValueError, match="more than 3 terms"):
+        spec.prepare_spec(request, {"i": df})
+
+
+def test_each_likelihood_is_planned_once(spark):
+    from textlab.plans import train
+
+    df = spark.createDataFrame([(float(i), "xyz"[i % 3]) for i in range(30)], "v double, label string")
+    plan = score(df, train.train("naive_bayes", df, "label", ["v"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("power(") == 3

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from textlab.functions.analysis import Analyzer
-from textlab.operators.postings import all_terms, doc_freq
+from textlab.operators.postings import doc_freq
 
+#: Terms of a vocabulary that the driver holds at most.
+VOCABULARY = 5_000_000
 NUMBERS = ("tf", "occurrence", "tf_idf")
 
 
@@ -22,6 +24,8 @@ class Feature:
     field: str
     number: str
     terms: tuple[str, ...]
+    #: Of a vocabulary that was chosen from a table: its plan's hash, the analyzer and the document frequencies.
+    known: tuple[int, str | None, tuple[int, ...]] | None = field(default=None, compare=False, repr=False)
 
     def __post_init__(self) -> None:
         if self.number not in NUMBERS:
@@ -93,7 +97,8 @@ def prepare_spec(request: Mapping | str, tables: Mapping[str, DataFrame]) -> Vec
     Each feature has ``field``, ``number``, ``type`` ("string") and ``tokens``: "given" with
     ``terms``; "all_terms" with ``index`` and ``min_doc_freq``; "significant_terms" with
     ``index`` and ``request``, whose only aggregation is a terms aggregation, or one with a
-    significant_terms aggregation inside. The vocabulary is what the driver has to hold.
+    significant_terms aggregation inside. The vocabulary is what the driver has to hold; one of
+    more than ``VOCABULARY`` terms is an error.
     """
     body = json.loads(request) if isinstance(request, str) else request
     if not body.get("features"):
@@ -105,7 +110,7 @@ def prepare_spec(request: Mapping | str, tables: Mapping[str, DataFrame]) -> Vec
         for name in ("field", "number", "tokens"):
             if name not in f:
                 raise ValueError(f"[{name}] is missing in a feature")
-        method = f["tokens"]
+        method, known = f["tokens"], None
         if method not in _ARGUMENTS:
             raise ValueError(f"unknown way to choose tokens [{method}]")
         missing = _ARGUMENTS[method] - f.keys()
@@ -121,13 +126,24 @@ def prepare_spec(request: Mapping | str, tables: Mapping[str, DataFrame]) -> Vec
                 raise ValueError(f"no such index [{f['index']}]")
             df = tables[f["index"]]
             if method == "all_terms":
-                terms = tuple(r.term for r in all_terms(df, f["field"], None, None, int(f["min_doc_freq"]), f.get("analyzer")).collect())
+                found = doc_freq(df, f["field"], f.get("analyzer")).where(F.col("df") >= int(f["min_doc_freq"]))
+                counts = {r.term: r.df for r in _bounded(found)}
+                terms = given(counts)
+                known = (df.semanticHash(), f.get("analyzer"), tuple(counts[t] for t in terms))
             else:
-                terms = given([r.term for r in _leaves(df, f["request"], f.get("analyzer")).collect()])
-        features.append(Feature(f["field"], f["number"], terms))
+                terms = given([r.term for r in _bounded(_leaves(df, f["request"], f.get("analyzer")))])
+        features.append(Feature(f["field"], f["number"], terms, known))
     return VectorSpec(tuple(features), as_bool(body.get("sparse", False)))
 
 
+def _bounded(terms: DataFrame) -> list[Row]:
+    """A vocabulary's rows; an error where they are more than the driver should hold."""
+    rows = terms.limit(VOCABULARY + 1).collect()
+    if len(rows) > VOCABULARY:
+        raise ValueError(f"the vocabulary has more than {VOCABULARY} terms; raise min_doc_freq")
+    return rows
+
+
 def _leaves(df: DataFrame, request: Mapping | str, analyzer: str | None) -> DataFrame:
     """(term) at the leaves of the one aggregation of a request."""
     body = json.loads(request) if isinstance(request, str) else request

@@ -13,6 +13,10 @@ from textlab.functions.analysis import Analyzer, python_pattern
 from textlab.operators.postings import doc_freq, dictionary, occurrences, postings
 
 
+#: Rows of offsets from which on a batch is given.
+ROWS = 10_000
+
+
 def term_vectors(df: DataFrame, fields: Sequence[str] = ("text",), id_col: str = "doc_id", per_field_analyzer: Mapping[str, str | Analyzer] | None = None, positions: bool = False, term_statistics: bool = False) -> DataFrame:
     """(id, field, term, tf[, positions][, df, ttf]) of every document, field and term."""
     chosen = per_field_analyzer or {}
@@ -65,20 +69,31 @@ def offsets(df: DataFrame, field: str = "text", id_col: str = "doc_id", analyzer
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = python_pattern(analyzer).finditer
+        rows, terms, places, starts, ends = columns = [], [], [], [], []
+
+        def gathered(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            out = pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.string()), *(pa.array(x, pa.int32()) for x in (places, starts, ends))], names=[id_col, "term", "position", "start_offset", "end_offset"])
+            for c in columns:
+                c.clear()
+            return out
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py()
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
                 if not text:
                     continue
-                terms, starts, ends = [], [], []
                 at = _units(text) if not text.isascii() and max(text) > "\uffff" else None
-                for m in find(text):
+                for n, m in enumerate(find(text)):
+                    rows.append(i)
                     terms.append(m[0].lower() if lower else m[0])
+                    places.append(n)
                     starts.append(at[m.start()] if at else m.start())
                     ends.append(at[m.end()] if at else m.end())
-                n = len(terms)
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, batch.column(0).type), pa.array(terms), pa.array(range(n), pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[id_col, "term", "position", "start_offset", "end_offset"])
+                if len(rows) >= ROWS:
+                    yield gathered(batch)
+            if rows:
+                yield gathered(batch)
 
     return df.select(id_col, field).mapInArrow(run, f"{id_col} {kind}, term string, position int, start_offset int, end_offset int")
 

@@ -29,12 +29,23 @@ BROADCAST_TERMS = 1_000_000
 
 
 def idf(df: DataFrame, feature: Feature, sparse: bool, analyzer: str | Analyzer | None = None) -> list[float]:
-    """ln((N + 1) / (df + 1)) of every term of a feature: two aggregates, only the vocabulary reaches the driver."""
+    """ln((N + 1) / (df + 1)) of every term of a feature: one pass over the tokens, only the vocabulary reaches the driver.
+
+    Frequencies that were counted when the vocabulary was chosen from the same table are used again.
+    """
+    weights = lambda n, found: [math.log((n + 1) / (found.get(t, 0) + 1)) for t in feature.terms]
+    if sparse and feature.known and feature.known[:2] == (df.semanticHash(), analyzer):
+        return weights(df.count(), dict(zip(feature.terms, feature.known[2], strict=True)))
+    if len(feature.terms) <= INLINE_TERMS:
+        lists = df.select(tokens_of(df, feature.field, analyzer).alias("t"))
+        each = [F.count_if(F.array_contains("t", t)) for t in feature.terms]
+        n, *found = lists.agg(F.count("*") if sparse else F.count_if(F.size("t") > 0), *each).first()
+        return weights(n, dict(zip(feature.terms, found, strict=True)))
     terms = df.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(feature.terms)], "term string")
     found = {r.term: r.df for r in doc_freq(df, feature.field, analyzer).join(F.broadcast(terms) if len(feature.terms) <= BROADCAST_TERMS else terms, "term", "left_semi").collect()}
     counted = df if sparse else df.where(F.size(tokens_of(df, feature.field, analyzer)) > 0)
     n = counted.count()
-    return [math.log((n + 1) / (found.get(t, 0) + 1)) for t in feature.terms]
+    return weights(n, found)
 
 
 def _weights(df: DataFrame, feature: Feature, sparse: bool, analyzer: str | Analyzer | None) -> list[float]:
@@ -63,7 +74,7 @@ def entries(df: DataFrame, spec: VectorSpec, id_col: str = "doc_id", analyzers:
         if len(f.terms) <= BROADCAST_TERMS:
             vocabulary = F.broadcast(vocabulary)
         tokens = df.select(F.col(id_col), F.explode_outer(tokens_of(df, f.field, a)).alias("term")).join(vocabulary, "term", "left")
-        counted = tokens.groupBy(id_col, "idx", "weight").agg(F.count("*").cast("double").alias("tf"))
+        counted = tokens.groupBy(id_col, "idx").agg(F.count("*").cast("double").alias("tf"), F.max("weight").alias("weight"))
         value = F.lit(1.0) if f.number == "occurrence" else F.col("tf") * F.col("weight")
         part = counted.select(id_col, "idx", F.when(F.col("idx").isNotNull(), value).alias("value"))
         out = part if out is None else out.unionByName(part)

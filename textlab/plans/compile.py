@@ -192,12 +192,27 @@ def _bayes(p: Pmml, m: NaiveBayes, x: Inputs, debug: bool) -> Column:
     names = list(logs)
     if len(names) < 2:
         raise Unsupported("a Naive Bayes model needs two classes at least")
-    most = F.greatest(*logs.values())
-    label = F.coalesce(*[F.when(logs[c] == most, F.lit(c)) for c in names])
-    each = {c: F.exp(v - most) for c, v in logs.items()}
-    whole = _total(list(each.values()))
-    known = reduce(lambda a, b: a & b, [v.isNotNull() for v in logs.values()])
-    return _answer(label, {c: e / whole for c, e in each.items()}, debug, known)
+    # the log-likelihoods, and then their maximum, are bound once instead of copied into each use
+    return _bound(F.array(*[logs[c] for c in names]), lambda v: F.when(~F.exists(v, lambda x: x.isNull()), bayes_answer(v, names, debug)))
+
+
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def bayes_answer(logs: Column, names: list[str], debug: bool) -> Column:
+    """Class (the first of the most likely ones) and probabilities from an array of log-likelihoods by class."""
+    classes = F.array(*map(F.lit, names))
+
+    def answer(most: Column) -> Column:
+        label = F.element_at(classes, F.array_position(logs, most).cast("int"))
+        if not debug:
+            return label
+        each = F.transform(logs, lambda x: F.exp(x - most))
+        return _bound(each, lambda e: F.struct(label.alias("class"), F.map_from_arrays(classes, F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))).alias("probs")))
+
+    return _bound(F.array_max(logs), answer)
 
 
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlab.functions.analysis import Analyzer, tokens_of
+from textlab.plans.compile import bayes_answer
 from textlab.plans.pmml import Counts, DataField, Gaussian, MiningField, NaiveBayes, Pmml
 
 _NUMBERS = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType)
 Field = str | Mapping[str, object]
+#: Values of a field that a model on the driver holds; more are an error.
+MODEL_VALUES = 1_000_000
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
@@ -76,7 +82,10 @@ def naive_bayes(df: DataFrame, target: str, fields: Sequence[Field], settings: M
             dictionary.append(DataField(name, "continuous", "double"))
             continue
         counts: dict[str, dict[str, float]] = {}
-        for r in categorical_counts(df, target, name, analyzer).orderBy("value", "class").collect():
+        got = categorical_counts(df, target, name, analyzer).limit(MODEL_VALUES * len(stats) + 1).collect()
+        if len(got) > MODEL_VALUES * len(stats):
+            raise ValueError(f"field [{name}] has more than {MODEL_VALUES} values; text_bayes keeps them in a table")
+        for r in sorted(got, key=lambda r: (r["value"], r["class"])):
             counts.setdefault(r["value"], {})[r["class"]] = float(r["n"])
         inputs.append(Counts(name, counts))
         dictionary.append(DataField(name, "categorical", "string", list(counts)))
@@ -85,6 +94,43 @@ def naive_bayes(df: DataFrame, target: str, fields: Sequence[Field], settings: M
     return Pmml(dictionary, mining, [], NaiveBayes(1.0 / rows, inputs, {c: float(r["n"]) for c, r in stats.items()}))
 
 
+@dataclass(frozen=True)
+class TextBayes:
+    """A Naive Bayes model of a text field whose parameters are a table.
+
+    ``terms`` has (term, logs): the logarithm of each class's share of rows with the term.
+    """
+
+    classes: list[str]
+    priors: list[float]
+    terms: DataFrame
+
+
+def text_bayes(df: DataFrame, target: str, name: str = "text", analyzer: str | Analyzer | None = "standard") -> TextBayes:
+    """The text model of ``naive_bayes`` without its vocabulary on the driver: two aggregates by term, classes alone are collected."""
+    sizes = {r["class"]: r["n"] for r in class_counts(df, target).collect()}
+    if len(sizes) < 2:
+        raise ValueError(f"the target must have two classes at least, it has {len(sizes)}")
+    classes, total, least = sorted(sizes), sum(sizes.values()), math.log(1.0 / df.count())
+    pairs = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("class"), F.explode(_values(df, name, analyzer)).alias("term")).groupBy("term", "class").agg(F.count("*").alias("n"))
+    each = [F.coalesce(F.max(F.when(F.col("class") == c, F.log(F.col("n") / F.lit(float(sizes[c]))))), F.lit(least)) for c in classes]
+    return TextBayes(classes, [math.log(sizes[c] / total) for c in classes], pairs.groupBy("term").agg(F.array(*each).alias("logs")))
+
+
+def score_text(df: DataFrame, model: TextBayes, name: str = "text", id_col: str = "doc_id", analyzer: str | Analyzer | None = "standard", debug: bool = True) -> DataFrame:
+    """(id, prediction) of every row: distinct terms are joined with the parameters and summed by row; unknown terms add nothing.
+
+    The parameters are broadcast up to ``MODEL_VALUES`` terms; beyond, the join is shuffled by
+    term, where adaptive execution splits frequent ones.
+    """
+    terms = model.terms.persist(StorageLevel.DISK_ONLY)
+    if terms.count() <= MODEL_VALUES:
+        terms = F.broadcast(terms)
+    tokens = df.select(F.col(id_col), F.explode_outer(_values(df, name, analyzer)).alias("term")).join(terms, "term", "left")
+    sums = [F.coalesce(F.sum(F.get("logs", F.lit(i))), F.lit(0.0)) + F.lit(p) for i, p in enumerate(model.priors)]
+    return tokens.groupBy(id_col).agg(F.array(*sums).alias("logs")).select(id_col, bayes_answer(F.col("logs"), model.classes, debug).alias("prediction"))
+
+
 Trainer = Callable[[DataFrame, str, Sequence[Field], Mapping | None], Pmml]
 #: Trainers by the type that a request names.
 TRAINERS: dict[str, Trainer] = {"naive_bayes": naive_bayes}

@@ -112,7 +112,7 @@ def ingest_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_analyze(texts, "text", "standard").select("conv_id", F.array_join("text", " ").alias("tokens"))
 
 
-@query("analyzer_registry")
+@query("analyzer_registry", "select n_nationkey, lower(n_name) as tokens from nation")
 def analyzer_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An analyzer that is defined at run time; a bad update leaves it as it was."""
     registry = analysis.Registry()
@@ -196,7 +196,13 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termvectors.term_vectors(read(spark, sf_dir, "documents"), term_statistics=True).drop("field")
 
 
-@query("term_vectors_offsets")
+_offsets = f"""with s as (select doc_id, regexp_extract_all(text, {quoted(WORD)}) as t, string_split_regex(text, {quoted(WORD)}) as g from documents),
+e as (select doc_id, unnest(range(1, len(t) + 1)) as i, t, g from s),
+r as (select doc_id, i, t[i] as w, sum(length(g[i])) over x + coalesce(sum(length(t[i])) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as a from e window x as (partition by doc_id order by i))
+select doc_id, lower(w) as term, (i - 1)::int as position, a::int as start_offset, (a + length(w))::int as end_offset from r"""
+
+
+@query("term_vectors_offsets", _offsets)
 def term_vectors_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termvectors.offsets(read(spark, sf_dir, "documents"))
 
@@ -255,7 +261,7 @@ DENSE = VectorSpec((Feature("text", "tf", spec.given(GIVEN)),))
 def dense_of(number: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = vectorize(read(spark, sf_dir, "documents"), VectorSpec((Feature("text", number, spec.given(GIVEN)),)))
-        return v.select("doc_id", F.posexplode("vector.values").alias("idx", "value")).withColumn("value", F.round("value", 6))
+        return v.select("doc_id", F.posexplode_outer("vector.values").alias("idx", "value")).withColumn("value", F.round("value", 6))
 
     return run
 
@@ -459,6 +465,25 @@ def score_nb_not_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(df, write(line_bayes(df)), debug=False).select(*LINE, F.col("prediction").alias("class"))
 
 
+_text_bayes_sql = f"""with j as (select doc_id, quality::varchar as class, list_distinct({TOKENS}) as t from documents join labels using (doc_id)),
+c as (select class, count(*)::double as n from j where class is not null group by class),
+k as (select class, term, count(*)::double as k from (select class, unnest(t) as term from j where class is not null) group by all),
+v as (select distinct term from k), d as (select doc_id, unnest(list_distinct({TOKENS})) as term from documents),
+p as (select d.doc_id, c.class, sum(ln(coalesce(k.k / c.n, 1.0::double / (select count(*) from j)))) as s from d join v using (term) cross join c left join k on k.class = c.class and k.term = d.term group by all),
+s as (select a.doc_id, c.class, coalesce(p.s, 0) + ln(c.n / (select sum(n) from c)) as s from (select distinct doc_id from documents) a cross join c left join p on p.doc_id = a.doc_id and p.class = c.class),
+t as (select *, max(s) over w as top, row_number() over (partition by doc_id order by s desc, class) as place from s window w as (partition by doc_id)),
+u as (select *, sum(exp(s - top)) over (partition by doc_id) as whole from t)
+select doc_id, class, round(1 / whole, 6) as prob from u where place = 1"""
+
+
+@query("score_nb_text", _text_bayes_sql)
+def score_nb_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes on analysed text: trained on the labelled documents, applied to all."""
+    model = train.text_bayes(labelled(spark, sf_dir), "quality")
+    s = train.score_text(read(spark, sf_dir, "documents"), model)
+    return s.select("doc_id", F.col("prediction.class").alias("class"), F.round(F.array_max(F.map_values("prediction.probs")), 6).alias("prob"))
+
+
 # Trees
 
 
@@ -530,13 +555,17 @@ def score_text_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear_scores(read(spark, sf_dir, "documents"), WEIGHTS, 0.75).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", _bayes_sql + " select class, count(*) as n from t where place = 1 group by class")
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, store below the session's shared folder, load, score."""
     import tempfile
     import uuid
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.gettempdir()
     df = read(spark, sf_dir, "lineitem")
     store = ModelStore(spark, f"{shared}/models-{uuid.uuid4().hex}")
     store.put(line_bayes(df), "flags")
