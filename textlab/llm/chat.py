@@ -20,7 +20,9 @@ Messages are often plain text in which lines that begin with ``>`` quote earlier
 Defined results: messages with a null conversation or turn belong to none and are left
 out; rows repeated whole count once; messages with the same turn are ordered by role and
 text. A null text is empty, a null role ``unknown``. A message that only quotes stays, with
-an empty text. An empty table gives no conversations. Extra columns are ignored.
+an empty text. An empty table gives no conversations. Messages are read whole, whatever
+their length; a conversation, however many messages it has, is one row, and must fit in
+the memory of a task. Ids keep their type. Extra columns are ignored.
 
 ``OP3_SQL`` links by lines of level one alone; it agrees wherever these link, and where
 neither sentences nor deeper levels do.
@@ -35,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textlab.llm.common import kind_of
 
 QUOTE = "^[ \\t]*>[ \\t>]*"
 WROTE = "^[ \\t]*(On|Am|Le|El) .*(wrote|schrieb|écrit|escribió) ?:[ \\t]*$"
-SCHEMA = "conv_id bigint, n_messages int, n_linked int, text string"
+SCHEMA = "n_messages int, n_linked int, text string"
 
 
 def level(line: Column) -> Column:
@@ -54,7 +57,7 @@ def normalised(line: Column) -> Column:
 def messages(conversations: DataFrame) -> DataFrame:
     """(conv_id, n, role, text) of the messages, numbered from 0 in each conversation."""
     read = conversations.select(
-        conversations["conv_id"].cast("bigint").alias("conv_id"),
+        conversations["conv_id"],
         conversations["turn"].alias("turn"),
         F.coalesce(conversations["role"], F.lit("unknown")).alias("role"),
         F.coalesce(conversations["text"], F.lit("")).alias("text"),
@@ -96,9 +99,9 @@ def sentences(texts: DataFrame) -> DataFrame:
                 part = batch.slice(k, 256)
                 rows = [(c, n, *x) for c, n, t in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for x in set(of(t))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["conv_id", "n", "level", "norm"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (part.schema.field(0).type, pa.int32(), pa.int32(), pa.string()), strict=True)], names=["conv_id", "n", "level", "norm"])
 
-    found = texts.select("conv_id", F.col("n").cast("int").alias("n"), "text").mapInArrow(run, "conv_id bigint, n int, level int, norm string")
+    found = texts.select("conv_id", F.col("n").cast("int").alias("n"), "text").mapInArrow(run, f"conv_id {kind_of(texts, 'conv_id')}, n int, level int, norm string")
     return found.withColumn("hash", F.xxhash64("norm"))
 
 
@@ -162,7 +165,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
                 size, links, text = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int32()), pa.array(links, pa.int32()), pa.array(text, pa.string())], names=["conv_id", "n_messages", "n_linked", "text"])
 
-    return whole.mapInArrow(order, SCHEMA)
+    return whole.mapInArrow(order, f"conv_id {kind_of(whole, 'conv_id')}, {SCHEMA}")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

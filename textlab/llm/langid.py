@@ -139,13 +139,14 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """Texts of at most ``per_language`` labelled rows of each language, chosen by a hash of the id.
 
     The first pass reads only ids and labels and keeps the few first rows of each language
-    in each partition; the second fetches their texts by a join with that bounded list.
+    in each partition; the second fetches their texts by a join with that bounded list. An id
+    that rows repeat gives one text for each of its languages, the least.
     """
     labelled = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang")).where("lang is not null and id is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = labelled.select("id", "lang", F.row_number().over(order).alias("n")).where(F.col("n") <= per_language).select("id").distinct().collect()
     ids = docs.sparkSession.createDataFrame([(r.id,) for r in chosen], docs.select(docs[id_col].alias("id")).schema)
-    rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("text")).where("text is not null and lang is not null").join(F.broadcast(ids), "id").select("lang", "text").collect()
+    rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("text")).where("text is not null and lang is not null").join(F.broadcast(ids), "id").groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text").collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows):
         out.setdefault(r.lang, []).append(r.text)
