@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with their
 columns; the last returns their tokens. ``run`` applies them to the documents of a folder.
-Between stages the documents are written to the shared folder as Parquet and read again.
+Between stages the documents are written to the shared folder as Parquet and read again; a
+stage's table is removed when the next one is written.
 
 Nulls, empty texts, repeated rows and extra columns have the results that the operators'
 modules state; an empty table stays empty. Near-duplicate groups keep the document with the
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textlab.llm import bpe, decontam, minhash, pii, quality
-from textlab.llm.common import materialize
+from textlab.llm.common import drop_shared, materialize
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +58,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs, f"stage{k}")
+            docs, old, kept = (done := materialize(docs, f"stage{k}")), kept, done
+            if old is not None:
+                drop_shared(old)
     return docs
