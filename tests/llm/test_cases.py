@@ -230,3 +230,15 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_dir(type("Session", (), {"sparkContext": Context()})())
+
+
+def test_tokens_don_t_depend_on_what_a_worker_remembers(monkeypatch):
+    r = random.Random(12)
+    texts = [prose(40, r) + " " + "".join(r.choice("éa1 .'\n") for _ in range(20)) for _ in range(60)]
+    want = bpe.Encoder(bpe.vocabulary()).encode(texts)
+    for units, tokens in ((200, 1 << 22), (5, 1 << 22), (10_000, 300)):
+        monkeypatch.setattr(bpe, "CACHE_UNITS", units)
+        monkeypatch.setattr(bpe, "CACHE_TOKENS", tokens)
+        own = bpe.Encoder(bpe.vocabulary())
+        assert [x for i in range(0, 60, 7) for x in own.encode(texts[i : i + 7])] == want
+        assert own.encode(texts) == want

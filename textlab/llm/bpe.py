@@ -35,9 +35,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split of byte-level BPE: contractions, letters, digits, other signs, spaces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct units, and tokens of them, that a worker keeps.
-CACHE_UNITS, CACHE_TOKENS = 1_000_000, 1 << 24
+CACHE_UNITS, CACHE_TOKENS = 300_000, 1 << 22
 #: Bytes of text that are encoded at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Words of up to so many bytes are merged side by side.
 SIDE_BY_SIDE = 32
 SCHEMA = "n_tokens int, tokens array<int>, round_trip boolean"
@@ -333,7 +333,7 @@ def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Encoder:
-    """Encodes texts in one worker; keeps the tokens of up to ``CACHE_UNITS`` distinct units.
+    """Encodes texts in one worker; keeps the tokens of about ``CACHE_UNITS`` distinct units.
 
     Texts are cut into units by numpy, Arrow finds the distinct ones of a slice, and only
     units that are new to the worker go through the pattern and the three steps. Tokens of
@@ -351,7 +351,19 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.start, self.size, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def _trim(self) -> None:
+        """Keep the units that more than one slice had, the half of the most frequent ones at most."""
+        hits = self.hits[: len(self.known)]
+        keep = np.flatnonzero(hits > 1)
+        if keep.size > CACHE_UNITS // 2:
+            keep = np.sort(np.argsort(-hits, kind="stable")[: CACHE_UNITS // 2])
+        names, size = list(self.known), self.size[keep]
+        flat = csr_take(self.flat, self.start[keep], size)
+        self._forget()
+        if len(flat) <= CACHE_TOKENS // 2:
+            self._keep(flat, size, [names[i] for i in keep.tolist()])
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of pre-tokens in a row, and how many each has."""
@@ -371,7 +383,7 @@ class Encoder:
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while n > len(self.size):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+            self.start, self.size, self.hits = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.hits))
         self.flat[self.used : self.used + len(flat)] = flat
         self.start[first:n], self.size[first:n] = self.used + np.cumsum(size) - size, size
         self.used += len(flat)
@@ -406,12 +418,13 @@ class Encoder:
         coded = unit.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(distinct) > CACHE_UNITS or self.used > CACHE_TOKENS:
-            self._forget()
+            self._trim()
         get = self.known.get
         number = np.fromiter((get(u, -1) for u in distinct), np.int64, len(distinct))
         new = np.flatnonzero(number < 0)
         if new.size:
             number[new] = self._add([distinct[i] for i in new.tolist()])
+        self.hits[number] += 1
         of = number[coded.indices.to_numpy()]
         size = self.size[of]
         return csr_take(self.flat, self.start[of], size), np.concatenate(([0], np.cumsum(size)))[upto]
