@@ -360,3 +360,71 @@ def test_best_threshold_equals_trying_all():
         y[0] = 1
         f1 = lambda t: 2 * (w * y)[s > t].sum() / (w[s > t].sum() + (w * y).sum())  # noqa: E731,B023
         assert f1(toxicity.best_threshold(s, y, w)) == pytest.approx(max(f1(t) for t in [*(s - 1e-9), *s]))
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Of one language, more rows of each label than the 800 by hash of the id that were read once; the others have a word of their own."""
+    r = random.Random(12)
+    order = [x.id for x in spark.range(2200).where("id % 2 = 1").orderBy(F.xxhash64("id"), "id").collect()]
+    word = {i: "grumblefuzz" if n < 800 else "snortwaffle" for n, i in enumerate(order)}
+    rows = [(i, f"{prose(8, r)} {word.get(i, '')} {prose(8, r)}", "xx") for i in range(2200)]
+    rows += [(3000 + i, f"{prose(8, r)} {'snortwaffle' if i % 2 else ''} {prose(8, r)}", "xx") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2200)], "doc_id bigint, toxic int")
+    got = {x.doc_id: x.toxic for x in toxicity.classify(docs, toxicity.fit(*toxicity.sample(docs, labels))).where("doc_id >= 3000").collect()}
+    assert sum(toxic == (i % 2 == 1) for i, toxic in got.items()) >= 57
+
+
+def test_toxicity_thresholds_of_a_table_equal_those_of_arrays(spark):
+    r = np.random.default_rng(3)
+    rows = [(["", "xx", "yy", None][r.integers(4)], int(y), float(np.clip(round(r.normal(0.4 + 0.3 * y, 0.3), int(r.integers(1, 4))), 0, 1))) for y in r.integers(0, 2, 600)]
+    rows += [("zz", 1, 0.9)] * toxicity.LEAST_FOR_THRESHOLD
+    bins = np.searchsorted(toxicity.EDGES, [x[2] for x in rows], "right").tolist()
+    every, own = toxicity.thresholds(spark.createDataFrame([(*x, b) for x, b in zip(rows, bins, strict=True)], "lang string, label int, score double, bin int"))
+    best = lambda some: toxicity.best_threshold(np.array([x[2] for x in some]), np.array([x[1] for x in some]), np.ones(len(some)))
+    assert every == pytest.approx(best(rows))
+    assert own == pytest.approx({lang: best([x for x in rows if x[0] == lang]) for lang in ("xx", "yy")})
+
+
+def test_toxicity_features_are_kept_whole():
+    texts = pa.array(["a bb ccccc dddddddddd a", None, "", " ".join(f"w{i:x}" for i in range(70_000)), "longer words, longer"])
+    for some in (texts, texts.take(pa.array([0, 1, 2, 4]))):
+        rows, which, count = toxicity.distinct_features(some)
+        got, place, n = toxicity.decode(*toxicity.encode(some))
+        assert n.tolist() == count.tolist() and (got[place] == rows[which]).all()
+
+
+def test_toxicity_batches_do_not_depend_on_the_cut():
+    r = random.Random(4)
+    rows = [(int(i >= 130), prose(r.randrange(12), r), i % 2, "xx") for i in range(200)]
+    whole = toxicity.encode_rows(pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows]), pa.array([x[2] for x in rows], pa.int32()), pa.array([x[3] for x in rows])], names=list("abcd")))
+    want = [(h, y.tolist(), (f[0][f[1]]).tolist(), f[2].tolist()) for h, y, _, f in toxicity.batches_of([whole])]
+    assert [(h, len(y)) for h, y, *_ in want] == [(0, 64), (0, 64), (0, 2), (1, 64), (1, 6)]
+    for step in (1, 7, 64, 133):
+        parts = [whole.slice(a, step) for a in range(0, 200, step)]
+        assert [(h, y.tolist(), (f[0][f[1]]).tolist(), f[2].tolist()) for h, y, _, f in toxicity.batches_of(parts)] == want
+
+
+def test_toxicity_gradients_equal_differences_of_the_loss():
+    r = np.random.default_rng(8)
+    texts = pa.array(["one two three four", "word", "", "longerword another longerword", "a b"])
+    y = np.array([1, 0, 1, 0, 1])
+    flat = [r.normal(0, 0.5, shape) for shape in toxicity.SHAPES]
+    features = toxicity.distinct_features(texts)
+
+    def loss(flat):
+        p = toxicity.model_of(flat).score_features(*features)
+        some = features[2] > 0
+        each = -np.where(y == 1, np.log(p, where=some, out=np.zeros(5)) * 0.5 / 0.4, np.log(1 - p) * 0.5 / 0.6)
+        return each[some].sum() / some.sum()
+
+    training = toxicity.Training([x.copy() for x in flat], 0.4)
+    training.learn(*features, y)
+    for k, (m, _) in enumerate(training.moments):
+        for at in np.argsort(-np.abs(m).ravel())[:4]:
+            sides = []
+            for step in (2e-3, -2e-3):
+                moved = [x.copy() for x in flat]
+                moved[k].ravel()[at] += step
+                sides.append(loss(moved))
+            assert m.ravel()[at] * 10 == pytest.approx((sides[0] - sides[1]) / 4e-3, rel=0.05, abs=2e-3)
