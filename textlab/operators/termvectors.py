@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.functions.analysis import Analyzer, python_pattern
-from textlab.operators.postings import doc_freq, dictionary, occurrences, postings
+from textlab.operators.postings import counted, doc_freq, dictionary, postings
 
 
 #: Rows of offsets from which on a batch is given.
@@ -23,10 +23,7 @@ def term_vectors(df: DataFrame, fields: Sequence[str] = ("text",), id_col: str =
 
     def of(field: str) -> DataFrame:
         a = chosen.get(field)
-        if positions:
-            out = occurrences(df, field, id_col, a).groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-        else:
-            out = postings(df, field, id_col, a)
+        out = counted(df, field, id_col, a, positions)
         if term_statistics:
             out = out.join(dictionary(df, field, id_col, a), "term")
         return out.select(id_col, F.lit(field).alias("field"), "term", "tf", *(["positions"] if positions else []), *(["df", "ttf"] if term_statistics else []))
