@@ -169,3 +169,26 @@ def test_each_likelihood_is_planned_once(spark):
     df = spark.createDataFrame([(float(i), "xyz"[i % 3]) for i in range(30)], "v double, label string")
     plan = score(df, train.train("naive_bayes", df, "label", ["v"]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("power(") == 3
+
+
+def test_frequent_parameters_are_broadcast_and_rare_ones_shuffled(spark, monkeypatch):
+    from textlab.operators.postings import least_frequent
+
+    rows = [(1, "the good day", "p"), (2, "the bad day", "n"), (3, "the fine the good", "p"), (4, "the awful bad", "n"), (5, "the day rare", None), (6, None, "n"), (7, "unknown words", None), (8, "", None), (9, "awful fine", None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label string")
+    model = train.text_bayes(df, "label")
+    want = {r.doc_id: r.prediction for r in train.score_text(df, model).collect()}
+    assert least_frequent(model.terms, "n", 1) == 4 and least_frequent(model.terms, "n", 4) == 2 and least_frequent(model.terms, "n", 99) is None
+    monkeypatch.setattr(train, "MODEL_VALUES", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit in (0, 1, 4):
+            monkeypatch.setattr(train, "FREQUENT_TERMS", limit)
+            got = train.score_text(df, model)
+            assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+            got = {r.doc_id: r.prediction for r in got.collect()}
+            assert set(got) == set(want) == set(range(1, 10))
+            for i in want:
+                assert got[i]["class"] == want[i]["class"] and got[i]["probs"] == pytest.approx(want[i]["probs"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

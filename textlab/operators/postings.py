@@ -12,6 +12,9 @@ from textlab.functions.analysis import REGISTRY, Analyzer, Registry, tokens_of
 #: Repeated ids up to so many are broadcast; beyond, the rows of a table are joined with them by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Dictionaries of up to so many terms are broadcast; of larger ones, as many of the most frequent terms.
+FREQUENT_TERMS = 300_000
+
 
 def once(column: Column, fn: Callable[[Column], Column]) -> Column:
     """``fn`` of a column that is evaluated once, however often ``fn`` uses it."""
@@ -70,6 +73,22 @@ def counted(df: DataFrame, field: str = "text", id_col: str = "doc_id", analyzer
     return of(own).unionByName(of(shared).groupBy(id_col, "term").agg(F.sum("tf").alias("tf"), *places))
 
 
+def least_frequent(terms: DataFrame, count: str, limit: int) -> int | None:
+    """The least power of two so that at most ``limit`` rows have such a count at least; None where no bound is needed.
+
+    Terms from there on can be broadcast. They are few and make up nearly all postings; what
+    is left is many terms with few postings each.
+    """
+    by_digits = terms.groupBy(F.length(F.bin(count)).alias("digits")).agg(F.count("*").alias("n")).orderBy(F.desc("digits")).collect()
+    total, least = 0, 1 << by_digits[0].digits if by_digits else 1
+    for r in by_digits:
+        total += r.n
+        if total > limit:
+            return least
+        least = 1 << (r.digits - 1)
+    return None
+
+
 def occurrences(df: DataFrame, field: str = "text", id_col: str = "doc_id", analyzer: str | Analyzer | None = None) -> DataFrame:
     """(id, position, term): a row for each token."""
     return df.select(F.col(id_col), F.posexplode(tokens_of(df, field, analyzer)).alias("position", "term"))

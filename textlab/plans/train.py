@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlab.functions.analysis import Analyzer, tokens_of
+from textlab.operators.postings import FREQUENT_TERMS, least_frequent
 from textlab.plans.compile import bayes_answer
 from textlab.plans.pmml import Counts, DataField, Gaussian, MiningField, NaiveBayes, Pmml
 
@@ -98,7 +99,8 @@ def naive_bayes(df: DataFrame, target: str, fields: Sequence[Field], settings: M
 class TextBayes:
     """A Naive Bayes model of a text field whose parameters are a table.
 
-    ``terms`` has (term, logs): the logarithm of each class's share of rows with the term.
+    ``terms`` has (term, n, logs): how many rows with a class have the term, and the logarithm
+    of each class's share of rows with it.
     """
 
     classes: list[str]
@@ -107,28 +109,32 @@ class TextBayes:
 
 
 def text_bayes(df: DataFrame, target: str, name: str = "text", analyzer: str | Analyzer | None = "standard") -> TextBayes:
-    """The text model of ``naive_bayes`` without its vocabulary on the driver: two aggregates by term, classes alone are collected."""
+    """The text model of ``naive_bayes`` without its vocabulary on the driver: an aggregate by term, classes alone are collected."""
     sizes = {r["class"]: r["n"] for r in class_counts(df, target).collect()}
     if len(sizes) < 2:
         raise ValueError(f"the target must have two classes at least, it has {len(sizes)}")
     classes, total, least = sorted(sizes), sum(sizes.values()), math.log(1.0 / df.count())
-    pairs = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("class"), F.explode(_values(df, name, analyzer)).alias("term")).groupBy("term", "class").agg(F.count("*").alias("n"))
-    each = [F.coalesce(F.max(F.when(F.col("class") == c, F.log(F.col("n") / F.lit(float(sizes[c]))))), F.lit(least)) for c in classes]
-    return TextBayes(classes, [math.log(sizes[c] / total) for c in classes], pairs.groupBy("term").agg(F.array(*each).alias("logs")))
+    tokens = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("class"), F.explode(_values(df, name, analyzer)).alias("term"))
+    counts = tokens.groupBy("term").agg(F.count("*").alias("n"), *[F.count_if(F.col("class") == c).alias(f"n{i}") for i, c in enumerate(classes)])
+    logs = [F.when(F.col(f"n{i}") > 0, F.log(F.col(f"n{i}") / F.lit(float(sizes[c])))).otherwise(F.lit(least)) for i, c in enumerate(classes)]
+    return TextBayes(classes, [math.log(sizes[c] / total) for c in classes], counts.select("term", "n", F.array(*logs).alias("logs")))
 
 
 def score_text(df: DataFrame, model: TextBayes, name: str = "text", id_col: str = "doc_id", analyzer: str | Analyzer | None = "standard", debug: bool = True) -> DataFrame:
     """(id, prediction) of every row: distinct terms are joined with the parameters and summed by row; unknown terms add nothing.
 
-    The parameters are broadcast up to ``MODEL_VALUES`` terms; beyond, the join is shuffled by
-    term, where adaptive execution splits frequent ones.
+    Parameters of up to ``MODEL_VALUES`` terms are broadcast. Of more, those of the most
+    frequent terms are, and only tokens that are none of these are shuffled to the others.
     """
     terms = model.terms.persist(StorageLevel.DISK_ONLY)
-    if terms.count() <= MODEL_VALUES:
-        terms = F.broadcast(terms)
-    tokens = df.select(F.col(id_col), F.explode_outer(_values(df, name, analyzer)).alias("term")).join(terms, "term", "left")
+    tokens = df.select(F.col(id_col), F.explode_outer(_values(df, name, analyzer)).alias("term"))
+    bound = least_frequent(terms, "n", FREQUENT_TERMS) if terms.count() > MODEL_VALUES else None
+    found = tokens.join(F.broadcast((terms if bound is None else terms.where(F.col("n") >= bound)).select("term", "logs")), "term", "left")
+    if bound is not None:
+        left = found.where(F.col("logs").isNull() & F.col("term").isNotNull()).select(id_col, "term")
+        found = found.select(id_col, "logs").unionByName(left.join(terms.where(F.col("n") < bound).select("term", "logs"), "term").select(id_col, "logs"))
     sums = [F.coalesce(F.sum(F.get("logs", F.lit(i))), F.lit(0.0)) + F.lit(p) for i, p in enumerate(model.priors)]
-    return tokens.groupBy(id_col).agg(F.array(*sums).alias("logs")).select(id_col, bayes_answer(F.col("logs"), model.classes, debug).alias("prediction"))
+    return found.groupBy(id_col).agg(F.array(*sums).alias("logs")).select(id_col, bayes_answer(F.col("logs"), model.classes, debug).alias("prediction"))
 
 
 Trainer = Callable[[DataFrame, str, Sequence[Field], Mapping | None], Pmml]
