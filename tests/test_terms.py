@@ -110,3 +110,18 @@ def test_vectors_of_rows_that_share_an_id(spark, monkeypatch):
         assert got.keys() == want.keys()
         for k, v in want.items():
             assert sorted(got[k][0]) == sorted(v) and dict(zip(*got[k], strict=True)) == pytest.approx(v)
+
+
+def test_statistics_of_frequent_terms_are_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b a"), (2, "a c"), (3, "a b d d"), (3, "d e"), (4, "")], "doc_id int, text string")
+    want = {(1, "a", 2, 3, 4), (1, "b", 1, 2, 2), (2, "a", 1, 3, 4), (2, "c", 1, 1, 1), (3, "a", 1, 3, 4), (3, "b", 1, 2, 2), (3, "d", 3, 1, 3), (3, "e", 1, 1, 1)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit in (0, 2, 99):
+            monkeypatch.setattr(termvectors, "FREQUENT_TERMS", limit)
+            v = termvectors.term_vectors(df, term_statistics=True)
+            assert "BroadcastHashJoin" in v._jdf.queryExecution().executedPlan().toString()
+            got = [(r.doc_id, r.term, r.tf, r.df, r.ttf) for r in v.collect()]
+            assert len(got) == len(want) and set(got) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

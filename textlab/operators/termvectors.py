@@ -6,11 +6,12 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.functions.analysis import Analyzer, python_pattern
-from textlab.operators.postings import counted, doc_freq, dictionary, postings
+from textlab.operators.postings import FREQUENT_TERMS, counted, doc_freq, least_frequent, postings
 
 
 #: Rows of offsets from which on a batch is given.
@@ -25,12 +26,28 @@ def term_vectors(df: DataFrame, fields: Sequence[str] = ("text",), id_col: str =
         a = chosen.get(field)
         out = counted(df, field, id_col, a, positions)
         if term_statistics:
-            out = out.join(dictionary(df, field, id_col, a), "term")
+            out = _with_statistics(out.persist(StorageLevel.DISK_ONLY))
         return out.select(id_col, F.lit(field).alias("field"), "term", "tf", *(["positions"] if positions else []), *(["df", "ttf"] if term_statistics else []))
 
     return reduce(DataFrame.unionByName, [of(f) for f in fields])
 
 
+def _with_statistics(vectors: DataFrame) -> DataFrame:
+    """Term vectors with df and ttf of their terms.
+
+    A dictionary of up to ``FREQUENT_TERMS`` terms is broadcast. Of a larger one the most
+    frequent terms are, so that only postings of rare terms are shuffled, none of which has many.
+    Vectors and dictionary are kept on disk, as they are read more than once.
+    """
+    terms = vectors.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf")).persist(StorageLevel.DISK_ONLY)
+    bound = least_frequent(terms, "df", FREQUENT_TERMS)
+    if bound is None:
+        return vectors.join(F.broadcast(terms), "term")
+    found = vectors.join(F.broadcast(terms.where(F.col("df") >= bound)), "term", "left")
+    rare = found.where(F.col("df").isNull()).select(*vectors.columns)
+    return found.where(F.col("df").isNotNull()).unionByName(rare.join(terms.where(F.col("df") < bound), "term"))
+
+
 def filtered(
     df: DataFrame, field: str = "text", id_col: str = "doc_id", analyzer: str | Analyzer | None = None, max_num_terms: int | None = None, min_term_freq: int = 1, max_term_freq: int | None = None,
     min_doc_freq: int = 1, max_doc_freq: int | None = None, min_word_length: int = 0, max_word_length: int | None = None,
